@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabloom.llm import mixing, sharding
+from tabloom.llm import chat, decontam, mixing, sharding
 from tabloom.sources.files import table
 
 
@@ -10,11 +10,19 @@ def op1_hilbert_sharding(spark, d):
     return sharding.shard_documents(table(spark, d, "documents"))
 
 
+def op5_chat_formatting(spark, d):
+    return chat.chat_digest(table(spark, d, "conversations"))
+
+
+def op9_decontamination(spark, d):
+    return decontam.decontamination_digest(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def op10_source_mixing(spark, d):
     return mixing.mix_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op5_chat_formatting, op9_decontamination, op10_source_mixing)}
 
 _MIX = r"""
 with recursive s as (select source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::bigint as source_size from documents group by source),
@@ -32,4 +40,21 @@ j as (select d.*, t.source_size, t.target, coalesce(t.target / nullif(t.source_s
 select doc_id, size, source_size, target, ((floor(rate) + (u < rate - floor(rate))::int) * size)::bigint as taken, source, rate from j
 """
 
-ORACLE = {"op10_source_mixing": _MIX}
+_SPLIT = r"regexp_extract_all(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_HITS = f"""
+with i as (select item_id, {_SPLIT.format(t='text')} as w from benchmark),
+n as (select distinct least(10, len(w)) as n from i where len(w) > 0),
+iw as (select distinct item_id, n.n, array_to_string(list_slice(w, p, p + n.n - 1), ' ') as run
+    from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as p from i where len(w) > 0), n where n.n = least(10, len(w))),
+d as (select doc_id, {_SPLIT.format(t='text')} as w from documents),
+dw as (select doc_id, p, n.n, array_to_string(list_slice(w, p, p + n.n - 1), ' ') as run
+    from (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d), n where p + n.n - 1 <= len(w)),
+m as (select doc_id, p, dw.n, item_id from dw join iw using (n, run)),
+h as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from m) group by doc_id),
+f as (select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as items from (select distinct doc_id, item_id from m) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+    sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (doc_id) left join f using (doc_id)
+"""
+
+ORACLE = {"op9_decontamination": _HITS, "op10_source_mixing": _MIX}
