@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabloom.llm import chat, decontam, mixing, sharding
+from tabloom.llm import chat, decontam, minhash, mixing, sharding
 from tabloom.sources.files import table
 
 
@@ -10,6 +10,10 @@ def op1_hilbert_sharding(spark, d):
     return sharding.shard_documents(table(spark, d, "documents"))
 
 
+def op4_minhash_dedup(spark, d):
+    return minhash.near_duplicates(table(spark, d, "documents"), words=3, threshold=(85, 100))
+
+
 def op5_chat_formatting(spark, d):
     return chat.chat_digest(table(spark, d, "conversations"))
 
@@ -22,7 +26,7 @@ def op10_source_mixing(spark, d):
     return mixing.mix_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op5_chat_formatting, op9_decontamination, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op4_minhash_dedup, op5_chat_formatting, op9_decontamination, op10_source_mixing)}
 
 _MIX = r"""
 with recursive s as (select source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::bigint as source_size from documents group by source),
@@ -57,4 +61,16 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
 from d left join h using (doc_id) left join f using (doc_id)
 """
 
-ORACLE = {"op9_decontamination": _HITS, "op10_source_mixing": _MIX}
+_NEAR = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (select distinct doc_id, array_to_string(list_slice(w, p, p + 2), ' ') as g from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) as p from w where len(w) > 0)),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as materialized (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+b as materialized (select x, y from e union all select y, x from e),
+r as (select doc_id as d, doc_id as m from w union select b.y, r.m from r join b on b.x = r.d where r.m < b.y),
+k as (select d, min(m) as m from r group by d)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, k.m as component_id, k.m = w.doc_id as kept from w join k on k.d = w.doc_id left join n on n.doc_id = w.doc_id
+"""
+
+ORACLE = {"op4_minhash_dedup": _NEAR, "op9_decontamination": _HITS, "op10_source_mixing": _MIX}

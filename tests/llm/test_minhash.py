@@ -1,0 +1,115 @@
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from tabloom.llm import graph, minhash
+
+
+def sets_of(texts, words):
+    out = {}
+    for k, t in texts.items():
+        w = (t or "").encode().lower().split()
+        out[k] = frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
+    return out
+
+
+def brute(texts, words, num, den):
+    sets, near = sets_of(texts, words), defaultdict(set)
+    keys = [k for k in texts if sets[k]]
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            c = len(sets[a] & sets[b])
+            if c * den >= (len(sets[a]) + len(sets[b]) - c) * num:
+                near[a].add(b)
+                near[b].add(a)
+    out = {}
+    for k in sorted(texts):
+        if k not in out:
+            stack = [k]
+            while stack:
+                x = stack.pop()
+                if x not in out:
+                    out[x] = k
+                    stack += near[x]
+    return {k: (len(sets[k]), out[k], out[k] == k) for k in texts}
+
+
+def check(spark, texts, words=5, num=4, den=5):
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, words, (num, den)).collect()}
+    assert got == brute(texts, words, num, den)
+
+
+def edited(r, words, n):
+    out = list(words)
+    for _ in range(n):
+        out[r.randrange(len(out))] = f"x{r.randrange(10**6)}"
+    return " ".join(out)
+
+
+def test_estimates_similarity():
+    r = np.random.default_rng(1)
+    for share in (0.5, 0.8):
+        a = r.integers(0, 2**63, 3000).astype(np.uint64)
+        b = np.concatenate([a[: int(3000 * share)], r.integers(0, 2**63, 3000 - int(3000 * share)).astype(np.uint64)])
+        same = (minhash.signature(a, 1000) == minhash.signature(b, 1000)).mean()
+        assert same == pytest.approx(share / (2 - share), abs=0.06)
+
+
+def test_table(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    check(spark, texts, 3, 85, 100)
+    check(spark, texts)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_groups_of_near_copies(spark, seed):
+    """Many texts around a threshold, so that components grow by chains and stars miss links."""
+    r = random.Random(seed)
+    texts = {}
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(80)]
+        for i in range(40):
+            texts[len(texts) * 7] = edited(r, base, r.choice([0, 1, 1, 2, 3]))
+    chain = [f"c{i}" for i in range(100)]
+    for i in range(30):
+        texts[len(texts) * 7] = " ".join(chain)
+        chain[r.randrange(100)] = f"n{i}"
+    check(spark, texts, 3, 85, 100)
+
+
+def test_odd_rows(spark):
+    long = "long text " * 60_000
+    texts = {1: None, 2: "", 3: " \n ", 4: "one", 5: "ONE", 6: "one two", 7: long, 8: long + "end", 9: " one", 10: "one\ttwo"}
+    check(spark, texts)
+    df = spark.createDataFrame([(None, "one", 1), (4, "one", 2), (4, "one", 2), (9, "solo words", 3)], "doc_id long, text string, kept int")
+    got = sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect())
+    assert got == [(-1, 4, False), (4, 4, True), (4, 4, True), (9, 9, True)]
+    out = minhash.deduplicate(df)
+    assert out.columns == df.columns and sorted(r["doc_id"] or -1 for r in out.collect()) == [-1, 4, 9]
+    assert minhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_deduplicate(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r["doc_id"] for r in minhash.near_duplicates(docs).where("kept").collect()}
+    assert {r["doc_id"] for r in minhash.deduplicate(docs).collect()} == kept and len(kept) < docs.count()
+
+
+def test_components(spark):
+    r = random.Random(3)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        up[max(find(a), find(b))] = min(find(a), find(b))
+    want = {x: find(x) for x in up if find(x) != x}
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got == want
