@@ -1,15 +1,20 @@
-"""Connected components of a table of links, by alternating large-star and small-star rounds.
+"""Connected components, of a table of links and of candidates in buckets.
 
-Each round hangs nodes under smaller ones until every node hangs right under the
+``components`` alternates large-star and small-star rounds: each round hangs nodes under smaller ones until every node hangs right under the
 smallest of its component; the number of rounds grows with the logarithm of the
 graph's diameter. Rounds start from files in the shared folder, so the loss of
 executors repeats one round at most, and nothing but two numbers a round comes
 to the driver.
+
+``bucket_components`` confirms candidate links bucket by bucket without making all
+pairs of a bucket, and loses no link between components.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.sources.files import discard, materialise
@@ -43,3 +48,67 @@ def components(links: DataFrame) -> DataFrame:
         if state == before:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+#: Comparisons for each member of open buckets above which stars come first, as long as each round halves them.
+DENSE = 1000
+
+
+def _others(members: DataFrame) -> list[Column]:
+    return [F.col(c).alias(f"x_{c}") for c in members.columns if c not in ("key", "size")]
+
+
+def bucket_components(members: DataFrame, near: Callable[[], Column], confirm: Callable[[DataFrame], DataFrame], enrich: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
+    """(node, component) as ``components`` gives them, from members of buckets (key, size, rep, ...).
+
+    near: whether a row and another one (its columns have the prefix x_) may be
+    linked; confirm: the true links of pairs (u, v); enrich: fills in columns of
+    members that ``near`` can decide better with, once most are gone.
+
+    Star rounds compare every member with one of its bucket, dealt by a hash, so
+    their pairs are as many as the members. What is linked becomes one part. Only
+    members of other parts than their bucket's largest can have links that are
+    still missing; in the end these are compared with all members of other parts,
+    unless that would be many comparisons and rounds of stars still halve them by
+    joining parts.
+    """
+    members = materialise(members.withColumn("part", F.col("rep")), "members")
+    if not members.head(1):
+        return None
+    links, turn, before = None, 0, 0.0
+    while True:
+        counts = members.groupBy("key", "part").agg(F.count("*").alias("m"))
+        if turn:
+            whole = counts.groupBy("key").agg(F.max_by("part", "m").alias("main"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"))
+            whole = materialise(whole, "buckets")
+            cost, rows = whole.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.sum("all")).first()
+            if not cost:
+                return parts
+        if turn and (cost <= DENSE * rows or cost > before / 2):
+            outside = members.join(whole.select("key", "main"), "key").where("part != main").drop("main")
+            heads, last = outside.select("key", *_others(members)), True
+        else:
+            order = F.min_by(F.struct(*_others(members)), F.xxhash64("rep", "key", F.lit(turn)))
+            heads, last = members.groupBy("key").agg(order.alias("h")).select("key", "h.*"), False
+        pairs = members.join(heads, "key").where((F.col("part") != F.col("x_part")) & near())
+        pairs = pairs.select(F.greatest("rep", "x_rep").alias("u"), F.least("rep", "x_rep").alias("v")).distinct()
+        new = materialise(confirm(pairs), "confirmed")
+        links = new if links is None else links.union(new)
+        parts = components(links)
+        if last:
+            return parts
+        before = cost if turn else float("inf")
+        own = members.drop("part").where("size > 2")  # of two, both are done
+        own = own.join(parts.select(F.col("node").alias("rep"), F.col("component").alias("_c")), "rep", "left")
+        own = own.withColumn("part", F.coalesce("_c", "rep")).drop("_c")
+        own = _open(own)
+        if not turn and enrich is not None:
+            own = enrich(own)
+        members = materialise(own.select(members.columns), "members")
+        turn += 1
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The members of buckets with more than one part."""
+    keys = members.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("key")
+    return members.join(keys, "key")

@@ -11,13 +11,11 @@ b is chosen so that this is at most MISS at the threshold, and less above.
 
 Large groups:
 * Documents with equal sets are one class; only its smallest id goes on.
-* In a bucket (documents with a band in common) all members are compared with the
-  bucket's smallest member, which is linear in the bucket. What is linked then is
-  one component. Members outside the component of the smallest are compared with
-  all members of other components, as every link between components of a bucket
-  has such a member at one end, so no link between components is lost. If those
-  comparisons would be many, more rounds with other members in the smallest's
-  place come first and join components.
+* In a bucket (documents with a band in common) every member is compared with one
+  of them, not with all; see graph.bucket_components. For members that are still
+  in several components then, the parities of 512 groups of shingles bound from
+  below how far two sets are apart, which rules nearly all pairs out that are
+  below the threshold; only the others' sets are compared.
 
 Texts are read twice: for signatures, and for the sets of documents that have
 candidates. Signatures, sets and links are kept in the shared folder.
@@ -39,17 +37,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.graph import components
+from tabloom.llm.graph import bucket_components
 from tabloom.sources.files import materialise
 
 ROWS = 4
 MISS = 1e-6
 WORDS = 5
 THRESHOLD = (4, 5)
-#: Comparisons for each member of a bucket above which another round of stars comes first, and the most such rounds.
-DENSE, ROUNDS = 4, 8
 #: Ids that are broadcast at most (8 bytes each).
 MOST_IDS = 1_000_000
+#: Longs of parity bits.
+PARITY = 8
 _MEMO = 200_000
 _BATCH = 2_000_000
 
@@ -143,8 +141,18 @@ def signatures(docs: DataFrame, words: int, bands: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, fingerprint binary, bands array<long>")
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * PARITY groups of shingles: is their number odd. Two sets differ in as many shingles at least as in bits."""
+    odd = np.bincount((shingles >> np.uint64(20)) % np.uint64(64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) for each row."""
+    """(node, shingles, parity) for each row."""
+
+    def packed(ids, sets):
+        bits = [parities(s.view(np.uint64)) for s in sets]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(sets), _lists(bits)], ["node", "shingles", "parity"])
 
     def run(batches):
         memo = _WordHashes()
@@ -155,11 +163,11 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                 sets.append(shingle_hashes(text.as_py(), words, memo).view(np.int64))
                 size += len(sets[-1])
                 if size > _BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(sets)], ["node", "shingles"])
+                    yield packed(ids, sets)
                     ids, sets, size = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(sets)], ["node", "shingles"])
+            yield packed(ids, sets)
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    return docs.mapInArrow(run, "node long, shingles array<long>, parity array<long>")
 
 
 def small(ids: DataFrame) -> DataFrame:
@@ -177,62 +185,26 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> Da
     return joined.where(F.col("c") * den >= (F.col("n") - F.col("c")) * num).select("u", "v")
 
 
-def _near_size(threshold: tuple[int, int], a: str, b: str):
-    return (F.least(a, b) * threshold[1] >= F.greatest(a, b) * threshold[0])
-
-
-def _relabelled(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """The members of buckets with the component they are in now; buckets within one component go."""
-    own = members.drop("part").join(parts.withColumnRenamed("component", "part"), F.col("node") == F.col("rep"), "left").drop("node")
-    own = own.withColumn("part", F.coalesce("part", "rep"))
-    open_ = own.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("key")
-    return materialise(own.join(open_, "key"), "members")
-
-
 def _links(classes: DataFrame, docs: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame | None:
     """(node, component) of classes (rep, n_shingles, bands) that are linked."""
+    num, den = threshold
     each = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    full = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    members = materialise(each.join(full, "key").withColumn("part", F.col("rep")), "members")
-    if not members.head(1):
-        return None
+    full = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialise(each.join(full, "key").withColumn("parity", F.lit(None).cast("array<long>")), "members")
     ids = materialise(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(ids), "doc_id", "left_semi")
-    sets = materialise(shingle_sets(texts, words), "sets")
-    links, parts = None, None
-    for turn in range(ROUNDS + 1):
-        # the leader: the smallest member; later the smallest outside the part of the smallest
-        least = members.groupBy("key").agg(F.min("rep").alias("first"), F.min_by("part", "rep").alias("first_part"), F.count("*").alias("size"))
-        apart = members.join(least, "key").where("part != first_part")
-        others = members.join(least.select("key", "first"), "key").where("rep != first").drop("first")  # the first is done
-        if turn:
-            wanted = apart.groupBy("key", "size").agg(F.count("*").alias("rest"), F.min(F.struct("rep", "n", "part")).alias("lead"))
-            wanted = materialise(wanted, "leaders")
-            cost, rows = wanted.agg(F.sum((F.col("size") - 2) * F.col("rest")), F.sum("size")).first()
-            if not cost:
-                break
-            if cost <= DENSE * rows or turn == ROUNDS:
-                outside = apart.select("key", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("part").alias("xp"))
-                pairs = others.join(outside, "key").where(F.col("part") != F.col("xp")).where(_near_size(threshold, "n", "xn"))
-                pairs = pairs.select(F.greatest("rep", "x").alias("u"), F.least("rep", "x").alias("v"))
-                last = True
-            else:
-                heads = wanted.select("key", F.col("lead.rep").alias("x"), F.col("lead.n").alias("xn"), F.col("lead.part").alias("xp"))
-                pairs = others.join(heads, "key").where(F.col("part") != F.col("xp")).where(_near_size(threshold, "n", "xn"))
-                pairs = pairs.select(F.col("rep").alias("u"), F.col("x").alias("v"))
-                last = False
-        else:
-            heads = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead")).select("key", F.col("lead.rep").alias("x"), F.col("lead.n").alias("xn"))
-            pairs = members.join(heads, "key").where("rep != x").where(_near_size(threshold, "n", "xn"))
-            pairs = pairs.select(F.col("rep").alias("u"), F.col("x").alias("v"))
-            last = False
-        new = materialise(_linked(pairs.distinct(), sets, threshold), "links")
-        links = new if links is None else links.union(new)
-        parts = components(links)
-        if last:
-            break
-        members = _relabelled(members, parts)
-    return parts
+    sets = materialise(shingle_sets(texts, words).dropDuplicates(["node"]), "sets")
+
+    def near():
+        both = F.col("n") + F.col("x_n")
+        apart = sum(F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("x_parity")[i])) for i in range(PARITY))
+        alike = F.col("parity").isNull() | (apart * (den + num) <= both * (den - num))
+        return (F.least("n", "x_n") * den >= F.greatest("n", "x_n") * num) & alike
+
+    def enrich(open_: DataFrame) -> DataFrame:
+        return open_.drop("parity").join(sets.select(F.col("node").alias("rep"), "parity"), "rep")
+
+    return bucket_components(members, near, lambda pairs: _linked(pairs, sets, threshold), enrich)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
