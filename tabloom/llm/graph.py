@@ -72,7 +72,7 @@ def bucket_components(members: DataFrame, near: Callable[[], Column], confirm: C
     unless that would be many comparisons and rounds of stars still halve them by
     joining parts.
     """
-    members = materialise(members.withColumn("part", F.col("rep")), "members")
+    members = materialise(members.withColumn("part", F.col("rep")).withColumn("keys", F.lit(None).cast("array<long>")), "members")
     if not members.head(1):
         return None
     links, turn, before = None, 0, 0.0
@@ -90,7 +90,9 @@ def bucket_components(members: DataFrame, near: Callable[[], Column], confirm: C
         else:
             order = F.min_by(F.struct(*_others(members)), F.xxhash64("rep", "key", F.lit(turn)))
             heads, last = members.groupBy("key").agg(order.alias("h")).select("key", "h.*"), False
-        pairs = members.join(heads, "key").where((F.col("part") != F.col("x_part")) & near())
+        # a pair that shares several buckets comes from one of them
+        here = F.col("keys").isNull() | (F.array_min(F.array_intersect("keys", "x_keys")) == F.col("key"))
+        pairs = members.join(heads, "key").where((F.col("part") != F.col("x_part")) & near() & (here if last else F.lit(True)))
         pairs = pairs.select(F.greatest("rep", "x_rep").alias("u"), F.least("rep", "x_rep").alias("v")).distinct()
         new = materialise(confirm(pairs), "confirmed")
         links = new if links is None else links.union(new)
@@ -104,6 +106,7 @@ def bucket_components(members: DataFrame, near: Callable[[], Column], confirm: C
         own = _open(own)
         if not turn and enrich is not None:
             own = enrich(own)
+        own = own.drop("keys").join(own.groupBy("rep").agg(F.collect_list("key").alias("keys")), "rep")
         members = materialise(own.select(members.columns), "members")
         turn += 1
 

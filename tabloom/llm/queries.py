@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabloom.llm import chat, decontam, minhash, mixing, sharding
+from tabloom.llm import chat, decontam, lines, minhash, mixing, pii, quality, sharding, tokens, topk
 from tabloom.sources.files import table
 
 
@@ -10,6 +10,14 @@ def op1_hilbert_sharding(spark, d):
     return sharding.shard_documents(table(spark, d, "documents"))
 
 
+def op2_ball_tree_topk(spark, d):
+    return topk.top_vectors(table(spark, d, "embeddings"))
+
+
+def op3_quality_grades(spark, d):
+    return quality.quality_grades(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op4_minhash_dedup(spark, d):
     return minhash.near_duplicates(table(spark, d, "documents"), words=3, threshold=(85, 100))
 
@@ -18,6 +26,18 @@ def op5_chat_formatting(spark, d):
     return chat.chat_digest(table(spark, d, "conversations"))
 
 
+def op6_pii_sanitisation(spark, d):
+    return pii.span_digest(table(spark, d, "documents"))
+
+
+def op7_edited_token_counts(spark, d):
+    return tokens.token_digest(table(spark, d, "documents"))
+
+
+def op8_fuzzy_lines(spark, d):
+    return lines.line_digest(table(spark, d, "documents"))
+
+
 def op9_decontamination(spark, d):
     return decontam.decontamination_digest(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -26,7 +46,21 @@ def op10_source_mixing(spark, d):
     return mixing.mix_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op4_minhash_dedup, op5_chat_formatting, op9_decontamination, op10_source_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_hilbert_sharding,
+        op2_ball_tree_topk,
+        op3_quality_grades,
+        op4_minhash_dedup,
+        op5_chat_formatting,
+        op6_pii_sanitisation,
+        op7_edited_token_counts,
+        op8_fuzzy_lines,
+        op9_decontamination,
+        op10_source_mixing,
+    )
+}
 
 _MIX = r"""
 with recursive s as (select source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::bigint as source_size from documents group by source),
@@ -73,4 +107,13 @@ k as (select d, min(m) as m from r group by d)
 select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, k.m as component_id, k.m = w.doc_id as kept from w join k on k.d = w.doc_id left join n on n.doc_id = w.doc_id
 """
 
-ORACLE = {"op4_minhash_dedup": _NEAR, "op9_decontamination": _HITS, "op10_source_mixing": _MIX}
+_TOP = """
+with v as materialized (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
+    from v q, v c where q.vec_id % 50 = 0 and q.vec_id != c.vec_id),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+ORACLE = {"op2_ball_tree_topk": _TOP, "op4_minhash_dedup": _NEAR, "op9_decontamination": _HITS, "op10_source_mixing": _MIX}

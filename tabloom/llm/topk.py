@@ -34,6 +34,8 @@ BLOCK = 8192
 SEEDS = 4096
 #: Scores a task holds at a time for a ball: queries times rows.
 _CELLS = 4_000_000
+#: Below every score; its negative is a long, too.
+LOWEST = -(2**63 - 1)
 
 
 def scaled(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -102,7 +104,7 @@ class Search:
     def __init__(self, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int):
         self.ids, self.queries, self.floor, self.k = ids, queries, floor.copy(), k
         self.norms = np.sqrt((queries.astype(float) ** 2).sum(axis=1))
-        self.scores = np.full((len(ids), k), np.iinfo(np.int64).min)
+        self.scores = np.full((len(ids), k), LOWEST)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.visited = self.possible = 0
 
@@ -211,7 +213,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLO
     seeds = vectors.orderBy(F.xxhash64("id"), "id").limit(SEEDS).collect()
     out = spark.createDataFrame([], "query_id long, vec_id long, score long")
     for ids, rows in _blocks(queries, block):
-        first = Search(ids, rows, np.full(len(ids), np.iinfo(np.int64).min), k)
+        first = Search(ids, rows, np.full(len(ids), LOWEST), k)
         if seeds:
             names, start = _packed([r["id"] for r in seeds], [r["v"] for r in seeds])
             wide = max(start.shape[1], rows.shape[1])
