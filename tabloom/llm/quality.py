@@ -263,9 +263,9 @@ def judge(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def quality_grades(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The judgement of every document."""
+    """The judgement of the documents that are accepted; rejected ones aren't there."""
     model = fit(docs, grade_labels(labels))
-    return judge(docs.select("doc_id", "text"), model).select("doc_id", "expected_grade", "p_top", "accepted")
+    return judge(docs.select("doc_id", "text"), model).where("accepted").select("doc_id", "expected_grade", "p_top")
 
 
 def select_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
