@@ -28,11 +28,13 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.llm.batches import text_batches
+
 BLOCK_WORDS = 200_000
 WINDOW = 10
 COVERAGE = 0.5
@@ -206,20 +208,26 @@ _HITS = T.StructType(
 )
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents with hit_spans ([first, end) word numbers), hit_items (sorted) and hit_words (their number of words)."""
-    out = docs.drop(*_HITS.names)
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cut: bool = False) -> DataFrame:
+    """The documents with hit_spans ([first, end) word numbers), hit_items (sorted) and hit_words (their number of words).
+
+    cut: the spans are cut out of the texts, and n_chars kept true.
+    """
+    out = text_batches(docs.drop(*_HITS.names))
     schema = T.StructType([*out.schema.fields, *_HITS.fields])
     out = out.select("*", F.array().cast("array<array<int>>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"), F.lit(0).cast("long").alias("hit_words"))
-    for block in item_blocks(benchmark, window):
-        out = out.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(block), window), schema)
+    blocks = item_blocks(benchmark, window)
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        out = out.mapInArrow(_matcher(sent, window, cut and after is None), schema)
+        block = after
     return out
 
 
-def _matcher(block, window: int):
+def _matcher(block, window: int, cut: bool):
     def run(batches):
-        import pyarrow as pa
-
         automaton = Automaton(block.value, window)
         for batch in batches:
             spans, items, sizes = [], [], []
@@ -229,9 +237,17 @@ def _matcher(block, window: int):
                 spans.append([list(x) for x in _merged([tuple(x) for x in s.as_py()], got)])
                 items.append(sorted(names | set(i.as_py())))
                 sizes.append(len(words))
-            columns = [batch.column(c) for c in batch.schema.names if c not in _HITS.names]
-            kept = [c for c in batch.schema.names if c not in _HITS.names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string())), pa.array(sizes, pa.int64())], [*kept, *_HITS.names])
+            columns = {c: batch.column(c) for c in batch.schema.names if c not in _HITS.names}
+            if cut and any(spans):
+                texts = [cut_spans(t.as_py(), s) if s else t.as_py() for t, s in zip(columns["text"], spans, strict=True)]
+                columns["text"] = pa.array(texts, columns["text"].type)
+                if "n_chars" in columns:
+                    sizes_now = [len(t) if s else n.as_py() for t, s, n in zip(texts, spans, columns["n_chars"], strict=True)]
+                    columns["n_chars"] = pa.array(sizes_now, columns["n_chars"].type)
+            columns["hit_spans"] = pa.array(spans, pa.list_(pa.list_(pa.int32())))
+            columns["hit_items"] = pa.array(items, pa.list_(pa.string()))
+            columns["hit_words"] = pa.array(sizes, pa.int64())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
@@ -254,17 +270,8 @@ def _hit_count() -> F.Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """The documents without hit spans, n_chars kept true; documents with more than ``coverage`` of their words hit go."""
-    found = find_hits(docs, benchmark, window).where(_hit_count() <= F.lit(coverage) * F.col("hit_words"))
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut_spans(t, s) if len(s) else t for t, s in zip(texts, spans, strict=True)], dtype=object)
-
-    out = found.withColumn("text", cut("text", "hit_spans"))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("hit_spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    found = find_hits(docs, benchmark, window, cut=True)
+    return found.where(_hit_count() <= F.lit(coverage) * F.col("hit_words")).select(docs.columns)
 
 
 def decontamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm.batches import text_batches
 from tabloom.llm.graph import bucket_components
 from tabloom.sources.files import materialise
 
@@ -49,7 +50,7 @@ MOST_IDS = 1_000_000
 #: Longs of parity bits.
 PARITY = 8
 _MEMO = 200_000
-_BATCH = 2_000_000
+_BATCH = 1_000_000
 
 
 class _WordHashes(dict):
@@ -138,7 +139,7 @@ def signatures(docs: DataFrame, words: int, bands: int) -> DataFrame:
                 keys.append(band_keys(signature(s, bands * ROWS)) if len(s) else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), _lists(keys)], ["doc_id", "n_shingles", "fingerprint", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, fingerprint binary, bands array<long>")
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, fingerprint binary, bands array<long>")
 
 
 def parities(shingles: np.ndarray) -> np.ndarray:
@@ -167,7 +168,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                     ids, sets, size = [], [], 0
             yield packed(ids, sets)
 
-    return docs.mapInArrow(run, "node long, shingles array<long>, parity array<long>")
+    return text_batches(docs).mapInArrow(run, "node long, shingles array<long>, parity array<long>")
 
 
 def small(ids: DataFrame) -> DataFrame:

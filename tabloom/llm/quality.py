@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.llm.batches import text_batches
 from tabloom.sources.files import materialise
 
 BUCKETS = 1 << 16
@@ -51,7 +52,7 @@ PENALTY = 1e-4
 STEPS = 30
 PARTS = 8
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_MEMO = 500_000
+_MEMO = 200_000
 
 
 class _Buckets(dict):
@@ -171,7 +172,7 @@ def grade_labels(labels: DataFrame) -> DataFrame:
 def _featured(docs: DataFrame, graded: DataFrame, most: int) -> DataFrame:
     """(grade, held, where, values) of the sample."""
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("_id"), "grade")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = text_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     rows = rows.select((F.xxhash64("doc_id", F.lit("held")) % 5 == 0).alias("held"), "grade", "text")
 
     def run(batches):
@@ -247,7 +248,7 @@ _JUDGED = [T.StructField("expected_grade", T.DoubleType()), T.StructField("p_top
 def judge(docs: DataFrame, model: Model | None) -> DataFrame:
     """The documents with expected_grade, p_top (the probability of the top grade) and accepted."""
     names = [f.name for f in _JUDGED]
-    out = docs.drop(*names)
+    out = text_batches(docs.drop(*names))
     if model is None:
         return out.select("*", *(F.lit(None).cast("double").alias(n) for n in names[:2]), F.lit(True).alias(names[2]))
     sent = docs.sparkSession.sparkContext.broadcast(model)
