@@ -4,13 +4,17 @@ Patterns find the protected entities: e-mail and IP addresses, card and phone
 numbers. The corpus then tells which other words disclose them. For a term t and
 an entity e, with N words in the corpus,
 
-    p(e|t) = occurrences of t near a mention of e / all occurrences of t
-    IC(e)  = -log(mentions of e / N)
+    p(e)   = mentions of e / N
+    p(e|t) = (occurrences of t near a mention of e + PRIOR p(e)) / (all occurrences of t + PRIOR)
+    IC(e)  = -log p(e)
     disclosure(t, e) = 1 + log p(e|t) / IC(e)
 
 which is the share of the entity's information that the term reveals (their
-pointwise mutual information over IC(e)). A term of at least LEAST_DOCS documents
-near e whose disclosure is DISCLOSURE at least is sanitised near e. Near means
+pointwise mutual information over IC(e)). PRIOR occurrences as the corpus has them
+stand against chance, so a term of one occurrence counts for half. An entity is a
+value, and also a kind, with the mentions of all its values: values hardly ever come
+twice, and their kind has the support that they lack. A term whose disclosure is
+DISCLOSURE at least is sanitised near e. Near means
 within RADIUS characters between the entity and its neighbours of the same kind;
 that bounds the pairs by the text, not by its square.
 
@@ -35,7 +39,7 @@ from tabloom.sources.files import materialise
 
 RADIUS = 60
 DISCLOSURE = 0.9
-LEAST_DOCS = 3
+PRIOR = 1.0
 TERM = r"[\p{L}\p{N}]+"
 
 # The kinds in their order, and their patterns.
@@ -116,6 +120,10 @@ def _entity(kind: str, span: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.lower(span["value"]))
 
 
+def _kind_of(entity: str) -> Column:
+    return F.substring_index(entity, ":", 1)
+
+
 def _entity_names(kind: str) -> Column:
     return F.transform(kind, lambda s: _entity(kind, s))
 
@@ -152,17 +160,19 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("n"))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(doc_id, start, end, term, entity, disclosure): the occurrences of terms near entities that they give away."""
-    near = materialise(_near_terms(found), "near")
+def disclosing_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
+    """(doc_id, start, end, term, entity, disclosure): the occurrences of terms near entities, values or kinds, that they give away."""
+    near = _near_terms(found)
+    near = materialise(near.union(near.withColumn("entity", _kind_of("entity"))).distinct(), "near")
     counts = materialise(term_counts(docs), "terms")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("doc_id", "start").alias("both"), F.count_distinct("doc_id").alias("docs")).where(F.col("docs") >= least_docs)
+    total = float(max(1, counts.agg(F.sum("n")).first()[0] or 0))
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("doc_id", "start").alias("both"))
     kinds = [_entity_names(k) for k in KINDS]
-    mentions = found.select(F.explode(F.concat(*kinds)).alias("entity")).groupBy("entity").agg(F.count("*").alias("mentions"))
-    known = pairs.join(mentions, "entity").join(counts, "term")
-    content = -F.ln(F.col("mentions") / F.lit(float(max(1, total))))
-    known = known.withColumn("disclosure", F.lit(1.0) + F.try_divide(F.ln(F.least(F.col("both") / F.col("n"), F.lit(1.0))), content))
+    values = found.select(F.explode(F.concat(*kinds)).alias("entity")).groupBy("entity").agg(F.count("*").alias("mentions"))
+    mentions = values.union(values.groupBy(_kind_of("entity").alias("entity")).agg(F.sum("mentions").alias("mentions")))
+    known = pairs.join(mentions, "entity").join(counts, "term").withColumn("p", F.col("mentions") / total)
+    given = F.least((F.col("both") + prior * F.col("p")) / (F.col("n") + prior), F.lit(1.0))
+    known = known.withColumn("disclosure", F.lit(1.0) + F.try_divide(F.ln(given), -F.ln("p")))
     return near.join(known.where(F.col("disclosure") >= disclosure).select("entity", "term", "disclosure"), ["entity", "term"])
 
 

@@ -65,6 +65,19 @@ def test_terms(spark):
     assert "[TERM] [TERM] [EMAIL]" in clean[0] and "Zanzibar" not in clean[0] and clean[1] == texts[1]
 
 
+def test_terms_of_rare_values(spark):
+    """Each address is in one document only: the name near it discloses it, and the word near all of them discloses their kind."""
+    r = random.Random(3)
+    some = lambda n: " ".join(f"common{r.randrange(30)}" for _ in range(n))
+    texts = {i: some(10) for i in range(1500)}
+    for i in range(0, 360, 30):
+        texts[i] = f"{some(5)} Kontakt Name{i}x a{i}@b{i}.org {some(5)}"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    clean = {x["doc_id"]: x["text"] for x in pii.sanitise(df).collect()}
+    assert all("Kontakt" not in clean[i] and "Name" not in clean[i] for i in range(0, 360, 30))
+    assert all(clean[i].count("common") == 10 for i in texts)
+
+
 def test_odd_rows(spark):
     texts = {1: None, 2: "", 3: "9" * 30_000, 4: "a." * 40_000, 5: "1.2.3.4 " * 3_000, 6: "+1" + "-" * 50_000, 7: "x@y.z", 8: "1 " * 30_000}
     check(spark, texts)
