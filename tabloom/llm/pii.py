@@ -2,42 +2,46 @@ r"""Personal data and what gives it away, by information theory; DataFrame funct
 
 Patterns find the protected entities: e-mail and IP addresses, card and phone
 numbers. The corpus then tells which other words disclose them. For a term t and
-an entity e, with N words in the corpus,
+an entity e, with D documents in the corpus,
 
-    p(e)   = mentions of e / N
-    p(e|t) = (occurrences of t near a mention of e + PRIOR p(e)) / (all occurrences of t + PRIOR)
+    p(e)   = documents with e / D
+    p(e|t) = (documents with t and e + PRIOR p(e)) / (documents with t + PRIOR)
     IC(e)  = -log p(e)
     disclosure(t, e) = 1 + log p(e|t) / IC(e)
 
 which is the share of the entity's information that the term reveals (their
-pointwise mutual information over IC(e)). PRIOR occurrences as the corpus has them
-stand against chance, so a term of one occurrence counts for half. An entity is a
-value, and also a kind, with the mentions of all its values: values hardly ever come
+pointwise mutual information over IC(e)). PRIOR documents as the corpus has them
+stand against chance, so a term of one document counts for half. An entity is a
+value, and also a kind, with the documents of all its values: values hardly ever come
 twice, and their kind has the support that they lack. A term whose disclosure is
-DISCLOSURE at least is sanitised near e. Near means
-within RADIUS characters between the entity and its neighbours of the same kind;
-that bounds the pairs by the text, not by its square.
+DISCLOSURE at least is sanitised wherever it stands in the documents with the entity.
 
-``sanitise`` puts placeholders for both. Texts are scanned twice, for mentions
-and for the counts of words; the counts are partial sums before they are shuffled.
+Terms are counted once for each document. Two exact steps keep the pairs few: a
+document has a term with a value only if it has it with the value's kind, so terms
+that can't reach the threshold for any value of a kind go first; and values that
+the same documents hold have the same counts, so they are one set of documents.
+
+``sanitise`` puts placeholders for both. Texts are scanned for mentions, for the
+counts of words, and those with mentions again for their words and the places of
+the terms; the counts are partial sums before they are shuffled.
 
 The patterns equal the plain ones that they stand for, but can't run in squares of
 a text's length or need deep stacks: possessive quantifiers, and looks behind that
 stop attempts inside a run that was tried from its start.
 
 Defined cases: NULL texts are empty; ids are keys, and repeated rows count as
-further documents' rows in the sums; rows with NULL ids have their own entities
+further documents in the sums; rows with NULL ids have their own entities
 but no terms; no rows give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.llm.minhash import small
 from tabloom.sources.files import materialise
 
-RADIUS = 60
 DISCLOSURE = 0.9
 PRIOR = 1.0
 TERM = r"[\p{L}\p{N}]+"
@@ -79,101 +83,111 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-_SPAN = "struct<start: int, end: int, value: string, left: string, right: string>"
+_SPAN = "struct<start: int, end: int, value: string>"
 
 
-def located(text: Column, pattern: str, radius: int = 0) -> Column:
-    """The matches of a pattern as an array of (start, end, value, left, right): what lies between matches and what
-    matches alternate, so lengths add up to places. left and right are at most ``radius`` characters around."""
+def located(text: Column, pattern: str) -> Column:
+    """The matches of a pattern as an array of (start, end, value): what lies between matches and what
+    matches alternate, so lengths add up to places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.struct(found.alias("found"), F.split(text, pattern, -1).alias("gaps"))
     # a transform of one element names a value, so that it is computed once
-    return F.element_at(F.transform(F.array(both), lambda b: _placed(b["found"], b["gaps"], radius)), 1)
+    return F.element_at(F.transform(F.array(both), lambda b: _placed(b["found"], b["gaps"])), 1)
 
 
-def _placed(found: Column, gaps: Column, radius: int) -> Column:
+def _placed(found: Column, gaps: Column) -> Column:
     def add(acc: Column, i: Column) -> Column:
         gap, value = F.get(gaps, i), F.get(found, i)
         start = acc["at"] + F.length(gap)
-        span = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.right(gap, F.lit(radius)).alias("left"), F.left(F.get(gaps, i + 1), F.lit(radius)).alias("right"))
+        span = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
         return F.struct((start + F.length(value)).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
     return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), empty, add)["out"])
 
 
-def entities(text: Column, kind: str, radius: int = 0) -> Column:
+def entities(text: Column, kind: str) -> Column:
     """The valid mentions of a kind as ``located`` gives them; a failing match isn't tried again."""
     sign = SIGNS[kind]
     may = F.contains(text, F.lit(sign)) if sign else text.rlike("[0-9](?:[ -]?[0-9]){15}")
-    spans = F.when(may, located(text, PATTERNS[kind], radius))
+    spans = F.when(may, located(text, PATTERNS[kind]))
     return F.coalesce(F.filter(spans, lambda s: _valid(kind, s["value"])), F.array().cast(f"array<{_SPAN}>"))
 
 
-def find_entities(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def find_entities(docs: DataFrame) -> DataFrame:
     """(doc_id, email, ip, card, phone): the mentions of each row."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", *(entities(text, k, radius).alias(k) for k in KINDS))
+    return docs.select("doc_id", *(entities(text, k).alias(k) for k in KINDS))
 
 
 def _entity(kind: str, span: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.lower(span["value"]))
 
 
-def _kind_of(entity: str) -> Column:
-    return F.substring_index(entity, ":", 1)
-
-
 def _entity_names(kind: str) -> Column:
     return F.transform(kind, lambda s: _entity(kind, s))
 
 
-def _near_terms(found: DataFrame) -> DataFrame:
-    """(doc_id, entity, term, start, end): the whole terms around each mention, in lower case; terms inside mentions don't count."""
-    some = found.where(F.col("doc_id").isNotNull() & (F.size(F.concat(*KINDS)) > 0))
-    base = F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS))
-    def named(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(_entity(kind, s).alias("entity"), *(s[c].alias(c) for c in ("start", "end", "left", "right"))))
-
-    kinds = [named(k) for k in KINDS]
-    mentions = some.select("doc_id", base.alias("base"), F.explode(F.concat(*kinds)).alias("m")).select("doc_id", "base", "m.*")
-    # words cut by the radius and words that touch the mention go
-    left = F.regexp_replace(F.when(F.length("left") >= RADIUS, F.regexp_replace("left", rf"\A{TERM}", "")).otherwise(F.col("left")), rf"{TERM}\z", "")
-    cut = F.length("left") - F.length(F.when(F.length("left") >= RADIUS, F.regexp_replace("left", rf"\A{TERM}", "")).otherwise(F.col("left")))
-    right = F.regexp_replace(F.when(F.length("right") >= RADIUS, F.regexp_replace("right", rf"{TERM}\z", "")).otherwise(F.col("right")), rf"\A{TERM}", "")
-    lost = F.length(F.regexp_extract("right", rf"\A{TERM}", 0))
-    whole = F.length("right") < RADIUS
-    right = F.when(~whole & F.col("right").rlike(rf"\A{TERM}\z"), F.lit("")).otherwise(right)
-    sides = F.array(
-        F.struct(left.alias("text"), (F.col("start") - F.length("left") + cut).alias("at")),
-        F.struct(right.alias("text"), (F.col("end") + lost).alias("at")),
-    )
-    sides = mentions.select("doc_id", "base", "entity", F.explode(sides).alias("s"))
-    terms = sides.select("doc_id", "base", "entity", "s.at", F.explode(located(F.col("s.text"), TERM)).alias("t"))
-    terms = terms.select("doc_id", "base", "entity", F.lower("t.value").alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"))
-    return terms.where(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))).drop("base").distinct()
+def _terms(text: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(term, n): all occurrences of each term in all texts."""
-    terms = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
-    return terms.groupBy("term").agg(F.count("*").alias("n"))
+    """(term, n): the documents of each term."""
+    return docs.select(F.explode(_terms("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+def _document_sets(found: DataFrame) -> DataFrame:
+    """(doc_id, kind, held, f1, f2): the sets of documents, of ``held`` rows, that values of the kind are in; f1 and f2 name a set."""
+    def named(kind: str) -> Column:
+        return F.transform(F.array_distinct(_entity_names(kind)), lambda e: F.struct(F.lit(kind).alias("kind"), e.alias("entity")))
+
+    names = [named(k) for k in KINDS]
+    rows = materialise(found.where("doc_id is not null").select("doc_id", F.explode(F.concat(*names)).alias("e")).select("doc_id", "e.*"), "values")
+    name = [F.sum(F.xxhash64(F.lit(i), "doc_id").cast("decimal(38,0)")).alias(f"f{i}") for i in (1, 2)]
+    sets = rows.groupBy("entity").agg(F.count("*").alias("held"), *name)
+    return rows.join(sets, "entity").select("doc_id", "kind", "held", "f1", "f2").distinct()
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
-    """(doc_id, start, end, term, entity, disclosure): the occurrences of terms near entities, values or kinds, that they give away."""
-    near = _near_terms(found)
-    near = materialise(near.union(near.withColumn("entity", _kind_of("entity"))).distinct(), "near")
-    counts = materialise(term_counts(docs), "terms")
-    total = float(max(1, counts.agg(F.sum("n")).first()[0] or 0))
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("doc_id", "start").alias("both"))
-    kinds = [_entity_names(k) for k in KINDS]
-    values = found.select(F.explode(F.concat(*kinds)).alias("entity")).groupBy("entity").agg(F.count("*").alias("mentions"))
-    mentions = values.union(values.groupBy(_kind_of("entity").alias("entity")).agg(F.sum("mentions").alias("mentions")))
-    known = pairs.join(mentions, "entity").join(counts, "term").withColumn("p", F.col("mentions") / total)
-    given = F.least((F.col("both") + prior * F.col("p")) / (F.col("n") + prior), F.lit(1.0))
-    known = known.withColumn("disclosure", F.lit(1.0) + F.try_divide(F.ln(given), -F.ln("p")))
-    return near.join(known.where(F.col("disclosure") >= disclosure).select("entity", "term", "disclosure"), ["entity", "term"])
+    """(doc_id, term): the terms of each document that give one of its values or kinds away."""
+    kinds = F.filter(F.array(*(F.when(F.size(k) > 0, F.lit(k)) for k in KINDS)), lambda k: k.isNotNull())
+    some = found.where(F.col("doc_id").isNotNull() & (F.size(F.concat(*KINDS)) > 0)).select("doc_id", kinds.alias("kinds"))
+    total = float(max(1, found.count()))
+    of_kind = some.select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("held"))
+    held = some.distinct().groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("kinds"))).alias("kinds"))
+    texts = docs.select("doc_id", "text").join(small(materialise(held, "holders")), "doc_id")
+    words = materialise(texts.select("doc_id", "kinds", F.explode(_terms("text")).alias("term")).select("doc_id", F.explode("kinds").alias("kind"), "term"), "words")
+
+    def given(both: str, p: Column) -> Column:
+        return F.least((F.col(both) + prior * p) / (F.col("n") + prior), F.lit(1.0))
+
+    def told(both: str) -> Column:
+        p = F.col("held") / total
+        return F.lit(1.0) + F.try_divide(F.ln(given(both, p)), -F.ln(p)) >= disclosure
+
+    known = words.groupBy("kind", "term").agg(F.count("*").alias("in_kind")).join(term_counts(docs), "term")
+    # p(e) is 1 / D at least and 1 at most
+    may = known.where(given("in_kind", F.lit(1.0)) >= F.lit(total ** (disclosure - 1) * (1 - 1e-9)))
+    may = may.join(F.broadcast(of_kind), "kind").select("kind", "term", "n", told("in_kind").alias("by_kind"))
+    near = materialise(words.join(materialise(may, "may"), ["kind", "term"]), "near")
+    name = ["held", "f1", "f2"]
+    pairs = near.join(_document_sets(found), ["doc_id", "kind"]).select("doc_id", "term", "n", *name)
+    # a set of values of two kinds is one; rows of a repeated id count each
+    both = near.groupBy("doc_id", "term").agg((F.count("*") / F.count_distinct("kind")).alias("rows"))
+    pairs = materialise(pairs.distinct().join(both, ["doc_id", "term"]), "pairs")
+    by_set = pairs.groupBy("term", *name).agg(F.sum("rows").alias("both"), F.first("n").alias("n")).where(told("both"))
+    by_set = pairs.join(by_set.select("term", *name), ["term", *name], "left_semi")
+    return near.where("by_kind").select("doc_id", "term").union(by_set.select("doc_id", "term")).distinct()
+
+
+def _places(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, start, end): all places of each document's terms; words and what lies between them alternate, so lengths add up."""
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).join(small(terms.select("doc_id").distinct()), "doc_id", "left_semi")
+    pieces = rows.select("doc_id", "row", F.posexplode(F.regexp_extract_all("text", F.lit(rf"{TERM}|[^\p{{L}}\p{{N}}]+"), F.lit(0))).alias("at", "piece"))
+    end = F.sum(F.length("piece")).over(Window.partitionBy("row").orderBy("at")).cast("int")
+    pieces = pieces.select("doc_id", F.lower("piece").alias("term"), (end - F.length("piece")).alias("start"), end.alias("end"))
+    return pieces.join(terms, ["doc_id", "term"], "left_semi").select("doc_id", "start", "end")
 
 
 def _listed(spans: Column, kind: str) -> Column:
@@ -183,9 +197,13 @@ def _listed(spans: Column, kind: str) -> Column:
 def find_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, email, ip, card, phone, term) with arrays of (start, end, ...), each in the order of starts."""
     found = materialise(find_entities(docs), "entities")
-    terms = disclosing_terms(docs, found).groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("term"))
+    terms = _places(docs, materialise(disclosing_terms(docs, found), "terms"))
+    terms = terms.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("term"))
     out = found.join(terms, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    return out.withColumn("term", F.coalesce("term", F.array().cast("array<struct<start: int, end: int>>")))
+    # words of mentions, and words that reach into them, are no terms there
+    inside = F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS))
+    outside = F.filter("term", lambda t: ~F.exists(inside, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return out.withColumn("term", F.coalesce(outside, F.array().cast("array<struct<start: int, end: int>>")))
 
 
 def span_digest(docs: DataFrame) -> DataFrame:

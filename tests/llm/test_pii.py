@@ -78,6 +78,19 @@ def test_terms_of_rare_values(spark):
     assert all(clean[i].count("common") == 10 for i in texts)
 
 
+def test_terms_far_away(spark):
+    """A name that comes with one address only, far from it in the text, goes at all its places; elsewhere nothing goes."""
+    r = random.Random(5)
+    some = lambda n: " ".join(f"common{r.randrange(30)}" for _ in range(n))
+    texts = {i: some(10) for i in range(600)}
+    for i in range(0, 80, 8):
+        texts[i] = f"{some(5)} jo@home.example.org {some(40)} Zanzibar {some(40)} zanzibar {some(3)}"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    clean = {x["doc_id"]: x["text"] for x in pii.sanitise(df).collect()}
+    for i, x in texts.items():
+        assert clean[i] == re.sub("(?i)zanzibar", "[TERM]", x).replace("jo@home.example.org", "[EMAIL]")
+
+
 def test_odd_rows(spark):
     texts = {1: None, 2: "", 3: "9" * 30_000, 4: "a." * 40_000, 5: "1.2.3.4 " * 3_000, 6: "+1" + "-" * 50_000, 7: "x@y.z", 8: "1 " * 30_000}
     check(spark, texts)
