@@ -44,3 +44,13 @@ def test_odd_rows(spark):
     assert quality.select_documents(docs, labels).columns == docs.columns
     assert quality.quality_grades(docs, labels.limit(0)).count() == len(rows)
     assert quality.quality_grades(docs.limit(0), labels).count() == 0
+
+
+def test_every_document_is_judged(spark):
+    """One row per document, rejected ones with their grades; select_documents keeps what is accepted."""
+    docs = spark.createDataFrame([(i, "good words here" if i < 40 else "bad awful thing") for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i >= 40)) for i in range(80)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.quality_grades(docs, labels).collect()}
+    assert set(got) == set(range(80)) and all(r["accepted"] == (i < 40) for i, r in got.items())
+    assert max(got[i]["p_top"] for i in range(40, 80)) < min(got[i]["p_top"] for i in range(40))
+    assert {r["doc_id"] for r in quality.select_documents(docs, labels).collect()} == {i for i, r in got.items() if r["accepted"]}
