@@ -1,8 +1,8 @@
 """A quality classifier: ordinal regression on graded ratings over hashed text.
 
-A document's features are the first STEM letters of its words and its runs of
-signs, hashed into BUCKETS, with the logarithm of their counts, plus counts of
-repeated, upper-case and surplus words. All grades share one weight per bucket;
+A document's features are its words, in lower case, and its runs of signs, hashed
+into BUCKETS, with the logarithm of their counts, plus counts of repeated, upper-case
+and surplus words. All grades share one weight per bucket;
 ordered thresholds cut the score into grades (a cumulative-link model with
 logistic links):
 
@@ -31,7 +31,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
-from operator import eq, itemgetter
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +43,7 @@ from pyspark.sql import types as T
 from tabloom.llm.batches import text_batches
 from tabloom.sources.files import materialise
 
-BUCKETS = 1 << 16
-STEM = 4
+BUCKETS = 1 << 17
 MOST_LABELLED = 20_000
 CLEAN_LOSS = 0.005
 LEAST_DOCS = 3
@@ -56,12 +55,12 @@ _MEMO = 200_000
 
 
 class _Buckets(dict):
-    """The bucket of each stem; those of the first _MEMO are kept."""
+    """The bucket of each word; those of the first _MEMO are kept."""
 
-    def __missing__(self, stem: str) -> int:
-        b = xxhash.xxh32_intdigest(stem) % BUCKETS
+    def __missing__(self, word: str) -> int:
+        b = xxhash.xxh32_intdigest(word) % BUCKETS
         if len(self) < _MEMO:
-            self[stem] = b
+            self[word] = b
         return b
 
 
@@ -69,8 +68,8 @@ def features(text: str | None, buckets: dict) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, values) of a text; a bucket can come more than once."""
     tokens = _TOKEN.findall(text) if text else []
     counts: Counter = Counter()
-    for stem, n in Counter(map(itemgetter(slice(STEM)), tokens)).items():
-        counts[stem.lower()[:STEM]] += n
+    for word, n in Counter(tokens).items():
+        counts[word.lower()] += n
     odd = {
         "\0repeated": sum(map(eq, tokens, tokens[1:])),
         "\0upper": sum(map(str.isupper, tokens)),
@@ -182,7 +181,7 @@ def _featured(docs: DataFrame, graded: DataFrame, most: int) -> DataFrame:
             lists = [pa.array([f[i] for f in found], pa.list_(kind)) for i, kind in ((0, pa.int32()), (1, pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column("held"), batch.column("grade"), *lists], ["held", "grade", "where", "values"])
 
-    return rows.mapInArrow(run, "held boolean, grade int, where array<int>, values array<double>").coalesce(PARTS)
+    return rows.mapInArrow(run, "held boolean, grade int, where array<int>, values array<double>")
 
 
 def _compressed(batches) -> tuple:
@@ -201,7 +200,8 @@ def _compressed(batches) -> tuple:
 def fit(docs: DataFrame, graded: DataFrame, n_grades: int = 3, most: int = MOST_LABELLED, clean_loss: float = CLEAN_LOSS) -> Model | None:
     """The model of a bounded sample of graded documents; None if fewer than two grades are there."""
     sc = docs.sparkSession.sparkContext
-    rows = materialise(_featured(docs, graded, most), "features")
+    # the scan of the documents goes in all tasks; only what it wrote, the sample, is read in PARTS
+    rows = materialise(_featured(docs, graded, most), "features").coalesce(PARTS)
     train = rows.where("not held")
     counts = {r["grade"]: r["count"] for r in train.groupBy("grade").count().collect()}
     total = sum(counts.values())
