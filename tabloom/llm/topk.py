@@ -1,18 +1,20 @@
 """Exact top-k by inner product: a ball tree per shard of vectors, searched by branch and bound.
 
-Every partition of the table gathers its vectors into shards of SHARD rows. A
-shard is split into balls (centre, radius) by the direction of its largest
+Vectors are dealt by hash into groups of GROUP rows at most, and each group's into
+shards of SHARD rows. A shard is split into balls (centre, radius) by the direction of its largest
 spread. A query's product with any vector of a ball is at most
 centre . query + radius * |query|; balls whose bound is below the query's current
 k-th score are left out with all that is in them, the others are taken in the
 order of their bounds. The k-th scores are shared: from ball to ball, from shard
-to shard of a task, and at the start by a first look at SEEDS vectors.
+to shard of a group, and at the start by a first look at SEEDS vectors, which are
+the only vectors that come to the driver.
 
-Queries go in blocks of BLOCK vectors, each a broadcast of bounded size and one
-pass over the table; each task returns its k best per query, and a grouped
-top-k merges them. Scores are whole numbers: components are floor(256 * x).
+A group's task first gets its vectors and builds their trees, once, and then the
+queries, which are sent to every group, batch by batch; it holds its trees and one
+batch. It returns its k best per query, and a grouped top-k merges them. Scores are
+whole numbers: components are floor(256 * x).
 
-Defined cases: NULL vectors and vectors with NULL or non-finite components take
+Defined cases: a score that a long can't hold raises ArithmeticError; NULL vectors and vectors with NULL or non-finite components take
 no part; rows with NULL ids neither; vectors of other lengths count as filled up
 with zeros; equal scores are ranked by id; ids are keys (a repeated row is a
 candidate each time, though never of a query with its own id).
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 SCALE = 256
 SHARD = 8192
 LEAF = 256
-BLOCK = 8192
+#: Rows of a group at most; fewer where that keeps more tasks busy, but not under LEAST_GROUP.
+GROUP = 131_072
+LEAST_GROUP = 2048
 SEEDS = 4096
 #: Scores a task holds at a time for a ball: queries times rows.
 _CELLS = 4_000_000
@@ -48,7 +52,7 @@ def scaled(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -
 def _matrix(lists, width: int | None = None) -> np.ndarray:
     """A list column as a matrix of longs, short rows filled up with zeros."""
     sizes = np.diff(lists.offsets.to_numpy())
-    flat = lists.flatten().to_numpy()
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
     width = max(int(sizes.max(initial=0)), width or 0)
     if len(sizes) and (sizes == width).all():
         return flat.reshape(len(sizes), width)
@@ -61,12 +65,16 @@ def _widened(a: np.ndarray, width: int) -> np.ndarray:
     return a if a.shape[1] == width else np.pad(a, ((0, 0), (0, width - a.shape[1])))
 
 
-def _products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact whole products; in doubles if no sum can leave the range in which they are exact."""
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, rows.shape[1])
+def _products(queries: np.ndarray, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Exact whole products, but for those of a row with itself (``own``); in doubles if no sum can leave the range in which they are exact."""
+    most = float(np.abs(queries.astype(float)).max(initial=0)) * float(np.abs(rows.astype(float)).max(initial=0)) * max(1, rows.shape[1])
     if most < 2**52:
         return (queries.astype(float) @ rows.astype(float).T).astype(np.int64)
-    return queries @ rows.T
+    if most >= 2**63:
+        about = np.where(own, 0.0, queries.astype(float) @ rows.astype(float).T)
+        if np.abs(about).max(initial=0) >= 2.0**63 * (1 - 1e-9):
+            raise ArithmeticError("an inner product doesn't fit a long")
+    return queries @ rows.T  # sums modulo 2**64, right where the sum fits
 
 
 class BallTree:
@@ -139,8 +147,9 @@ class Search:
                 self._offer(queries[i : i + step], tree.ids[start:end], tree.rows[start:end])
 
     def _offer(self, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-        scores = _products(self.queries[queries], rows)
-        good = (scores >= self.floor[queries][:, None]) & (ids[None, :] != self.ids[queries][:, None])
+        own = ids[None, :] == self.ids[queries][:, None]
+        scores = _products(self.queries[queries], rows, own)
+        good = (scores >= self.floor[queries][:, None]) & ~own
         q, r = np.nonzero(good)
         if not len(q):
             return
@@ -158,68 +167,86 @@ class Search:
         self.floor[owners[full]] = np.maximum(self.floor[owners[full]], self.scores[owners[full], -1])
 
 
-def _shards(batches, size: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, rows, n = [], [], 0
-    for batch in batches:
-        ids.append(batch.column("id").to_numpy())
-        rows.append(_matrix(batch.column("v"), width))
-        n += len(ids[-1])
-        while n >= size:
-            wide = max(r.shape[1] for r in rows)
-            all_ids, all_rows = np.concatenate(ids), np.concatenate([_widened(r, wide) for r in rows])
-            yield all_ids[:size], all_rows[:size]
-            ids, rows, n = [all_ids[size:]], [all_rows[size:]], n - size
-    if n:
-        wide = max(r.shape[1] for r in rows)
-        yield np.concatenate(ids), np.concatenate([_widened(r, wide) for r in rows])
-
-
-def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The queries in blocks; the driver holds one at a time."""
-    ids, rows = [], []
-    for r in queries.toLocalIterator():
-        ids.append(r["id"])
-        rows.append(r["v"])
-        if len(ids) == size:
-            yield _packed(ids, rows)
-            ids, rows = [], []
-    if ids:
-        yield _packed(ids, rows)
-
-
-def _packed(ids: list[int], rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.array(ids, np.int64), _matrix(pa.array(rows, pa.list_(pa.int64())))
-
-
-def search_block(table: DataFrame, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> DataFrame:
-    """(query_id, vec_id, score): each task's k best for each query of the block that reach its floor."""
-    sent = table.sparkSession.sparkContext.broadcast((ids, queries, floor))
+class Group:
+    """The trees of a group's vectors, built shard by shard as they come."""
+
+    def __init__(self, width: int):
+        self.width, self.trees, self.waiting, self.n = width, [], [], 0
+
+    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        self.waiting.append((ids, _widened(rows, self.width)))
+        self.n += len(ids)
+        if self.n >= SHARD:
+            self.build()
+
+    def build(self) -> None:
+        if self.n:
+            ids, rows = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+            self.trees += [BallTree(ids[i : i + SHARD], rows[i : i + SHARD]) for i in range(0, self.n, SHARD)]
+            self.waiting, self.n = [], 0
+
+    def search(self, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> Search:
+        """The trees with the highest bounds come first."""
+        self.build()
+        search = Search(ids, _widened(queries, self.width), floor, k)
+        bound = lambda t: float((search.queries @ t.centres[0] + t.radii[0] * search.norms).max())
+        for tree in sorted(self.trees, key=bound, reverse=True):
+            search.visit(tree)
+        return search
+
+
+def first_look(queries: DataFrame, seeds: list, width: int, k: int) -> DataFrame:
+    """(id, v, floor): the k-th best score of each query among the seeds, which its k-th best of all can't be below."""
+    names = np.array([r["id"] for r in seeds], np.int64)
+    rows = _matrix(pa.array([r["v"] for r in seeds], pa.list_(pa.int64())), width)
+    sent = queries.sparkSession.sparkContext.broadcast((names, rows))
 
     def run(batches):
-        ids, queries, floor = sent.value
-        search = Search(ids, queries, floor, k)
-        for names, rows in _shards(batches, SHARD, queries.shape[1]):
-            search.queries = _widened(search.queries, rows.shape[1])
-            search.visit(BallTree(names, _widened(rows, search.queries.shape[1])))
-        q, j = np.nonzero(search.found != np.iinfo(np.int64).max)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(search.found[q, j]), pa.array(search.scores[q, j])], ["query_id", "vec_id", "score"])
+        group = Group(width)
+        group.add(*sent.value)
+        for batch in batches:
+            floor = np.full(batch.num_rows, LOWEST)
+            search = group.search(batch.column("id").to_numpy(), _matrix(batch.column("v"), width), floor, k)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(search.floor)], ["id", "v", "floor"])
+
+    return queries.mapInArrow(run, "id long, v array<long>, floor long")
+
 
-    return table.mapInArrow(run, "query_id long, vec_id long, score long")
+def _by_group(batches) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """Runs of rows with one group and kind."""
+    for batch in batches:
+        codes = batch.column("group").to_numpy() * 2 + batch.column("kind").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                yield int(codes[a]) // 2, int(codes[a]) % 2, batch.slice(a, b - a)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, most: int = GROUP) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of vectors (id, v) for each row of queries, its own id left out."""
-    spark = vectors.sparkSession
+    n, width = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     seeds = vectors.orderBy(F.xxhash64("id"), "id").limit(SEEDS).collect()
-    out = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    for ids, rows in _blocks(queries, block):
-        first = Search(ids, rows, np.full(len(ids), LOWEST), k)
-        if seeds:
-            names, start = _packed([r["id"] for r in seeds], [r["v"] for r in seeds])
-            wide = max(start.shape[1], rows.shape[1])
-            first.queries = _widened(rows, wide)
-            first.visit(BallTree(names, _widened(start, wide)))
-        out = out.union(search_block(vectors, ids, rows, first.floor, k))
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, -(-n // most), min(tasks, -(-n // LEAST_GROUP)))
+    looked = first_look(queries, seeds, width, k) if seeds else queries.withColumn("floor", F.lit(LOWEST))
+    own = vectors.select(F.pmod(F.xxhash64("id", "v"), F.lit(groups)).cast("int").alias("group"), F.lit(0).alias("kind"), "id", "v", F.lit(LOWEST).alias("floor"))
+    asked = looked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(1).alias("kind"), "id", "v", "floor")
+
+    def run(batches):
+        now, group = None, None
+        for number, kind, rows in _by_group(batches):
+            if number != now:
+                now, group = number, Group(width)
+            ids, v = rows.column("id").to_numpy(), _matrix(rows.column("v"), width)
+            if not kind:
+                group.add(ids, v)
+                continue
+            search = group.search(ids, v, rows.column("floor").to_numpy(), k)
+            q, j = np.nonzero(search.found != np.iinfo(np.int64).max)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(search.found[q, j]), pa.array(search.scores[q, j])], ["query_id", "vec_id", "score"])
+
+    dealt = own.union(asked).repartition(groups, "group").sortWithinPartitions("group", "kind")
+    out = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

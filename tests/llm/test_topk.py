@@ -37,6 +37,7 @@ def test_trees(spark, monkeypatch, shard, leaf, seeds):
     vectors = [(i, [x + r.gauss(0, 0.2) for x in r.choice(centres)]) for i in range(600)] + [(1000 + i, [0.5] * 6) for i in range(80)]
     monkeypatch.setattr(topk, "SHARD", shard)
     monkeypatch.setattr(topk, "SEEDS", max(1, seeds))
+    monkeypatch.setattr(topk, "LEAST_GROUP", shard)
     monkeypatch.setattr(topk.BallTree.__init__, "__defaults__", (leaf,))
     check(spark, vectors, 10)
 
@@ -50,6 +51,20 @@ def test_branches_are_left_out():
     assert search.visited < search.possible / 2
 
 
+def test_too_large(spark):
+    df = spark.createDataFrame([(0, [3e7, 3e7, 3e7]), (1, [3e7, 3e7, 3e7]), (2, [1.0, 1.0, 1.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="doesn't fit a long"):
+        topk.top_vectors(df).collect()
+
+
+def test_driver_holds_seeds_only(spark, sf, monkeypatch):
+    """Many groups and queries make one plan: no union and no broadcast for each."""
+    monkeypatch.setattr(topk, "LEAST_GROUP", 16)
+    found = topk.top_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 2 and plan.count("Union") <= 1
+
+
 def test_odd_rows(spark):
     inf, nan = math.inf, math.nan
     vectors = [(0, [1.0, 2.0]), (50, None), (100, [nan, 1.0]), (150, [inf, 1.0]), (1, [None, 1.0]), (2, [1.0]), (3, []), (4, [1.0, 2.0, 3.0]), (None, [9.0, 9.0]), (5, [1.0, 2.0]), (5, [1.0, 2.0]), (200, [-1.0, 0.25]), (6, [3e8, 3e8]), (250, [3e8, -3e8])]
