@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+from numpy.polynomial import Polynomial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,57 +31,64 @@ def _pairs(df: DataFrame, x_col: str, y_col: str) -> DataFrame:
     return df.select(F.col(x_col).cast("double").alias("x"), F.col(y_col).cast("double").alias("y")).where("x is not null and y is not null")
 
 
-def moments(df: DataFrame, degree: int, x_col: str = "x", y_col: str = "y") -> DataFrame:
-    """One row of the sums s0..s2d of powers of x and t0..td of powers of x times y."""
+#: Smallest eigenvalue of the scaled system, against 1, below which it counts as singular.
+SINGULAR = 1e-10
+
+
+def moments(df: DataFrame, degree: int, x_col: str = "x", y_col: str = "y", centre: float = 0.0, scale: float = 1.0) -> DataFrame:
+    """One row of the sums s0..s2d of powers of u = (x - centre) / scale and t0..td of powers of u times y."""
 
     def power(k: int):
         out = F.lit(1.0)
         for _ in range(k):
-            out = out * F.col("x")
+            out = out * F.col("u")
         return out
 
     sums = [F.coalesce(F.sum(power(k)), F.lit(0.0)).alias(f"s{k}") for k in range(2 * degree + 1)]
     sums += [F.coalesce(F.sum(power(k) * F.col("y")), F.lit(0.0)).alias(f"t{k}") for k in range(degree + 1)]
-    return _pairs(df, x_col, y_col).agg(*sums)
+    return _pairs(df, x_col, y_col).select(((F.col("x") - centre) / scale).alias("u"), "y").agg(*sums)
+
+
+def coefficients(df: DataFrame, degree: int, x_col: str = "x", y_col: str = "y") -> list[float]:
+    """Coefficients by power of the least-squares polynomial; NaN throughout if the system is singular.
+
+    Two aggregates: the centre and spread of x, then the moments of x centred and
+    scaled, which stay of one magnitude wherever x lies. The driver gets one row of
+    each and solves degree + 1 equations.
+    """
+    none = [math.nan] * (degree + 1)
+    centre, scale = _pairs(df, x_col, y_col).agg(F.avg("x"), F.stddev_pop("x")).first()
+    if centre is None or not math.isfinite(centre) or not math.isfinite(scale) or (scale <= 1e-14 * abs(centre) and degree):
+        return none
+    scale = scale or 1.0
+    row = moments(df, degree, x_col, y_col, centre, scale).first()
+    system = np.array([[row[f"s{i + j}"] for j in range(degree + 1)] for i in range(degree + 1)])
+    wanted = np.array([row[f"t{i}"] for i in range(degree + 1)])
+    if not (np.isfinite(system).all() and np.isfinite(wanted).all()):
+        return none
+    unit = 1 / np.sqrt(np.diag(system))
+    if np.linalg.eigvalsh(system * np.outer(unit, unit))[0] < SINGULAR:
+        return none
+    in_u = Polynomial(unit * np.linalg.solve(system * np.outer(unit, unit), unit * wanted))
+    in_x = in_u(Polynomial([-centre / scale, 1 / scale])).coef
+    return [float(v) for v in np.pad(in_x, (0, degree + 1 - len(in_x)))]
 
 
 def quadratic_fit(df: DataFrame, x_col: str = "x", y_col: str = "y") -> DataFrame:
-    """One row (a, b, c) of the least-squares curve y = a + b x + c x**2, by Cramer's rule on the moments.
+    """One row (a, b, c) of the least-squares curve y = a + b x + c x**2.
 
     Rows with a NULL in x or y take no part. A singular system (no rows, or
     fewer than three values of x) gives NaN for all three, still one row.
     """
-    minors = moments(df, 2, x_col, y_col).selectExpr(
-        "*",
-        "s2 * s4 - s3 * s3 as m00",
-        "s2 * s3 - s1 * s4 as m01",
-        "s1 * s3 - s2 * s2 as m02",
-        "s0 * s4 - s2 * s2 as m11",
-        "s1 * s2 - s0 * s3 as m12",
-        "s0 * s2 - s1 * s1 as m22",
-    )
-    det = minors.selectExpr("*", "s0 * m00 + s1 * m01 + s2 * m02 as det")
-    return det.selectExpr(
-        *(
-            f"coalesce(try_divide(t0 * m{i} + t1 * m{j} + t2 * m{k}, det), double('NaN')) as {name}"
-            for name, i, j, k in (("a", "00", "01", "02"), ("b", "01", "11", "12"), ("c", "02", "12", "22"))
-        )
-    )
+    found = coefficients(df, 2, x_col, y_col)
+    return df.sparkSession.range(1).select(*(F.lit(v).alias(name) for name, v in zip("abc", found, strict=True)))
 
 
 def polynomial_fit(df: DataFrame, degree: int = 2, x_col: str = "x", y_col: str = "y") -> DataFrame:
-    """Rows (power, coefficient) of the least-squares polynomial.
-
-    The one row of moments comes to the driver, where degree + 1 equations are
-    solved; singular systems give NaN.
-    """
-    row = moments(df, degree, x_col, y_col).first()
-    system = np.array([[row[f"s{i + j}"] for j in range(degree + 1)] for i in range(degree + 1)])
-    try:
-        found = np.linalg.solve(system, np.array([row[f"t{i}"] for i in range(degree + 1)]))
-    except np.linalg.LinAlgError:
-        found = np.full(degree + 1, np.nan)
-    return df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(found)], "power int, coefficient double")
+    """Rows (power, coefficient) of the least-squares polynomial; NaN for singular systems."""
+    found = coefficients(df, degree, x_col, y_col)
+    rows = F.array(*(F.struct(F.lit(i).alias("power"), F.lit(v).alias("coefficient")) for i, v in enumerate(found)))
+    return df.sparkSession.range(1).select(F.inline(rows))
 
 
 register(TableOperator("label_count", label_count, {"word": "text"}))

@@ -8,6 +8,8 @@ pile up on the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
@@ -30,7 +32,12 @@ def nearest(features: Sequence[str], centres: Centres) -> Column:
             total = total + t
         return total
 
-    return F.array_min(F.array(*(F.struct(distance(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres))))["i"]
+    each = [distance(c) for c in centres]
+    least = F.least(*each) if len(each) > 1 else each[0]
+    out = F.when(each[0] == least, 0)
+    for i, d in enumerate(each[1:], 1):
+        out = out.when(d == least, i)
+    return out.otherwise(0)
 
 
 def first_centres(df: DataFrame, features: Sequence[str], k: int, order: Sequence[str]) -> Centres:
@@ -44,7 +51,9 @@ def _start(df: DataFrame, features: Sequence[str], k: int, init, order: Sequence
     elif init == "first_k":
         centres = first_centres(df, features, k, order or features)
     elif init == "random":
-        centres = [tuple(float(r[f]) for f in features) for r in df.select(*features, F.rand(seed).alias("_r")).orderBy("_r").limit(k).collect()]
+        # by a hash of the row: the same rows whatever the partitions
+        drawn = df.orderBy(F.xxhash64(F.lit(seed), *(order or features)), *(order or features)).select(*features).limit(k)
+        centres = [tuple(float(r[f]) for f in features) for r in drawn.collect()]
     else:
         raise ValueError(f"init is {init!r}")
     if len(centres) < k:
@@ -64,18 +73,17 @@ def kmeans(
 ) -> DataFrame:
     """All rows and columns with the number of their cluster, by max_iter updates of the means.
 
-    init: "first_k" (by the order columns), "random" (seeded), or k centres. A
+    init: "first_k" (by the order columns), "random" (by a seeded hash of the order
+    columns, or of the features), or k centres. A
     cluster that loses all its rows keeps its centre. Fewer than k rows, or a
     NULL or NaN among the features, raise ValueError.
     """
     require(df, dict.fromkeys(features, "number"))
     points = df.select(*(F.col(f).cast("double").alias(f) for f in features)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        bad = None
-        for f in features:
-            wrong = F.col(f).isNull() | F.isnan(f)
-            bad = wrong if bad is None else bad | wrong
-        if points.where(bad).limit(1).count():
+        # the pass that fills the cache also looks for what can't be clustered
+        bad = reduce(or_, (F.col(f).isNull() | F.isnan(f) for f in features))
+        if points.agg(F.count_if(bad)).first()[0]:
             raise ValueError("NULL or NaN among the features")
         centres = _start(df, features, k, init, order, seed)
         for _ in range(max_iter):

@@ -28,11 +28,9 @@ def token_split(df: DataFrame, name_col: str = "name", values_col: str = "values
     Empty, malformed and overflowing pieces give no row; repeated pieces stay.
     """
     pieces = df.select(F.col(name_col).alias("name"), F.explode(F.split(F.col(values_col), f"\\Q{sep}\\E")).alias("piece"))
-    return (
-        pieces.where(is_signed_integer(F.col("piece")))
-        .select("name", F.expr("try_cast(piece as bigint)").alias("value"))
-        .where(F.col("value").isNotNull())
-    )
+    # the cast rules most out; it also takes " 12 " and "+12", which the pattern doesn't
+    numbers = pieces.select("name", "piece", F.expr("try_cast(piece as bigint)").alias("value"))
+    return numbers.where(F.col("value").isNotNull() & is_signed_integer(F.col("piece"))).select("name", "value")
 
 
 register(TableOperator("identity", passthrough, {"a": "any"}))

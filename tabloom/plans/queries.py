@@ -59,28 +59,26 @@ def token_range_count(spark, d):
 
 
 def token_unnest_count(spark, d):
+    """The pieces by a lateral view; what isn't a number falls out as NULL."""
     _lists(spark, d).createOrReplaceTempView("lists_unnest")
     return spark.sql(r"""
-        with pieces(name, value) as (select name, explode(split(values, ',')) from lists_unnest),
-        numbers as (select name, cast(value as bigint) as value from pieces where value != '' and value rlike '^[0-9]+\\z')
-        select name, count(*) as n from numbers where value between 1000 and 2000 group by name order by name
+        select name, count(*) as n
+        from lists_unnest lateral view explode(split(values, ',')) as piece
+        where piece rlike '^[0-9]+\\z' and try_cast(piece as bigint) between 1000 and 2000
+        group by name order by name
     """)
 
 
 def token_recursive_count(spark, d):
-    sqlapi.allow_recursion(spark)
-    _lists(spark, d).createOrReplaceTempView("lists_recursive")
-    return spark.sql(r"""
-        with recursive pieces(name, value, tail) as (
-            select name, cast(null as string), values from lists_recursive
-            union all
-            select name,
-                   case when comma = 0 then tail else left(tail, comma - 1) end,
-                   case when comma = 0 then '' else substring(tail, comma + 1) end
-            from (select *, position(',' in tail) as comma from pieces) where tail != ''
-        ),
-        numbers as (select name, case when value rlike '^[0-9]+\\z' then cast(value as bigint) else null end as value from pieces)
-        select name, count(*) as n from numbers where value between 1000 and 2000 group by name order by name
+    """Recursion counts the places 1, 2, ... up to the longest list; each list is then read at its places."""
+    lists = _lists(spark, d)
+    lists.createOrReplaceTempView("lists_recursive")
+    longest = lists.agg(F.max(F.size(F.split("values", ",")))).first()[0] or 1
+    return spark.sql(rf"""
+        with recursive place(at) max recursion level {longest + 1} as (select 1 union all select at + 1 from place where at < {longest})
+        select name, count_if(try_cast(piece as bigint) between 1000 and 2000) as n
+        from (select name, split_part(values, ',', at) as piece from lists_recursive join place on at <= size(split(values, ',')))
+        where piece rlike '^[0-9]+\\z' group by name having n > 0 order by name
     """)
 
 
@@ -111,6 +109,12 @@ def quadratic_fit(spark, d):
     return _rounded(contract.get("quadratic_fit")(table(spark, d, "lineitem"), x_col="l_quantity", y_col="l_extendedprice"), 2)
 
 
+def quadratic_fit_shifted(spark, d):
+    """The fit where x lies far from 0: its curvature, and its slope in the middle."""
+    far = table(spark, d, "lineitem").select((F.col("l_quantity") + 1_000_000).alias("x"), F.col("l_extendedprice").alias("y"))
+    return _rounded(contract.get("quadratic_fit")(far).select("c", (F.col("b") + F.col("c") * 2_000_050).alias("slope")), 2)
+
+
 def exact_curve_fit(spark, d):
     xy = table(spark, d, "events").selectExpr("value / 100 as x", "0.5 * (value / 100) * (value / 100) - 3 * (value / 100) + 2 as y")
     return _rounded(contract.get("quadratic_fit")(xy))
@@ -147,36 +151,19 @@ def kmeans_library(spark, d):
     return found.groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
-def _size(spark, d, name: str = "events") -> int:
-    return table(spark, d, name).count()
-
-
-def gen_points(spark, d):
-    return _rounded(contract.get("create_points")(spark, n=_size(spark, d)), 4)
-
-
-def gen_curve(spark, d):
-    return _rounded(contract.get("create_curve")(spark, n=_size(spark, d)), 4)
-
-
-def gen_curve_fit(spark, d):
-    return _rounded(contract.get("quadratic_fit")(contract.get("create_curve")(spark, n=_size(spark, d))), 2)
+def kmeans_view(spark, d):
+    """k and features as parameters, the result under a view's name for SQL, with a case-sensitive column name."""
+    points = _points(spark, d)
+    contract.view("line_clusters", "kmeans", points, k=4, max_iter=2, features=("x", "y"), order=ORDER, cluster_col="clusterId")
+    return spark.sql("select `clusterId` as `clusterId`, count(*) as n, round(max(x), 3) as most from line_clusters group by `clusterId`")
 
 
-def gen_words(spark, d):
-    return contract.get("create_words")(spark, n=_size(spark, d))
-
-
-def gen_words_count(spark, d):
-    return contract.get("substring_filter")(contract.get("create_words")(spark, n=_size(spark, d))).agg(F.count("*").alias("n"))
-
-
-def gen_arrays(spark, d):
-    return contract.get("create_arrays")(spark, n=_size(spark, d))
-
-
-def gen_arrays_count(spark, d):
-    return _in_range(contract.get("token_split")(contract.get("create_arrays")(spark, n=_size(spark, d))))
+def fit_view(spark, d):
+    """Operators that fold, applied in SQL over the views that hold their results."""
+    lines = table(spark, d, "lineitem")
+    contract.view("price_line", "linear_fit", lines, x_col="l_quantity", y_col="l_extendedprice")
+    contract.view("flag_count", "label_count", lines.select(F.col("l_returnflag").alias("word")), label="R")
+    return spark.sql("select word, word_count, round(intercept + slope * word_count, 1) as priced from flag_count, price_line")
 
 
 def log_median(spark, d):
@@ -193,6 +180,18 @@ def log_json(spark, d):
     return events.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
+def log_json_columns(spark, d):
+    """A JSON column to columns; keys that are missing are NULL."""
+    events = table(spark, d, "events").select("event_id", "props")
+    return report.json_columns(events, "props", {"k": "long", "missing": "string"})
+
+
+def log_recoded(spark, d):
+    """Labels for codes (none for unlisted ones), and only round sizes."""
+    sizes = report.round_sizes(table(spark, d, "part").select("p_partkey", "p_size", F.substring("p_brand", 1, 7).alias("kind")), "p_size", 5, most=40)
+    return report.recode(sizes, "kind", {"Brand#1": "first", "Brand#3": "third"})
+
+
 def log_split_name(spark, d):
     named = table(spark, d, "orders").select("o_orderkey", F.concat_ws("_", "o_orderpriority", F.lit("run"), F.col("o_custkey").cast("string")).alias("full_name"))
     name, number = report.split_name(F.col("full_name"))
@@ -213,7 +212,7 @@ def log_throughput(spark, d):
 
 
 def csv_roundtrip(spark, d):
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     write_csv(orders, path)
     return read_csv(spark, path, orders.schema)
@@ -229,10 +228,9 @@ QUERIES = {
     for f in (
         passthrough, substring_filter, substring_count, substring_ilike_count, substring_function_count, label_count,
         token_split, token_range_count, token_unnest_count, token_recursive_count, token_function_count,
-        linear_fit, quadratic_fit, exact_curve_fit, polynomial_fit_1, polynomial_fit_2,
-        kmeans_sizes, kmeans_assign, kmeans_random, kmeans_library,
-        gen_points, gen_curve, gen_curve_fit, gen_words, gen_words_count, gen_arrays, gen_arrays_count,
-        log_median, log_unpivot, log_json, log_split_name, log_runs, log_throughput, csv_roundtrip, window_label_count,
+        linear_fit, quadratic_fit, quadratic_fit_shifted, exact_curve_fit, polynomial_fit_1, polynomial_fit_2,
+        kmeans_sizes, kmeans_assign, kmeans_random, kmeans_library, kmeans_view, fit_view,
+        log_median, log_unpivot, log_json, log_json_columns, log_recoded, log_split_name, log_runs, log_throughput, csv_roundtrip, window_label_count,
     )
 }
 
@@ -240,61 +238,27 @@ QUERIES = {
 # --- The same in SQL for an independent engine -----------------------------------------------
 
 
-def _u32(key: str, stream: str) -> str:
-    return f"('0x' || substr(md5(concat_ws(':', {key}, '{stream}')), 1, 8))::bigint"
-
-
-def _uniform(key: str, stream: str) -> str:
-    return f"({_u32(key, stream)} / 4294967296.0::double)"
-
-
-def _normal(key: str, stream: str) -> str:
-    return f"(sqrt(-2.0 * ln(1.0 - {_uniform(key, stream + 'r')})) * cos(2 * pi() * {_uniform(key, stream + 'a')}))"
-
-
-def _list(values) -> str:
-    return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else repr(v) for v in values) + "]"
-
-
-def _pick(key: str, stream: str, values) -> str:
-    return f"{_list(values)}[{_u32(key, stream)} % {len(values)} + 1]"
-
-
-_IDS = "(select unnest(range((select count(*) from events))) as id)"
 _LISTS = """lists as (select l_returnflag as name, concat_ws(',', l_partkey::varchar,
     case l_linenumber % 4 when 0 then 'N/A' when 1 then '' when 2 then '-12' else 'nan' end, l_suppkey::varchar, '007') as vals from lineitem)"""
 _TOKENS = "tokens as (select name, try_cast(piece as bigint) as value from (select name, unnest(string_split(vals, ',')) as piece from lists) where regexp_full_match(piece, '-?[0-9]+') and try_cast(piece as bigint) is not null)"
 _COUNTED = "select name, count(*) as n from tokens where value between 1000 and 2000 group by name order by name"
-_CURVE = f"curve as (select x, 3.0 + -2.0 * x + 1.0 * x * x + 2.0 * {_normal('id', 'e')} as y from (select id, {_uniform('id', 'x')} * 100.0 as x from {_IDS}))"
-_WORDS = f"words as (select concat_ws(' ', {_u32('id', 'l')}, {_pick('id', 'w', generators.PHRASES)}, {_u32('id', 'r')}) as word from {_IDS})"
-
-
-def _arrays() -> str:
-    own = "concat_ws('-', id, j)"
-    piece = f"case when {_u32(own, 'v')} % 10 > 0 then ({_u32(own, 'n')} % 1000001)::varchar else {_pick(own, 'i', generators.NOT_NUMBERS)} end"
-    from tabloom.functions.hashing import binomial_cdf
-
-    length = f"len(list_filter({_list(binomial_cdf(50, 0.2))}::double[], lambda p: p <= {_uniform('id', 'c')}))"
-    return f"""lists as (select name, coalesce(array_to_string(list_transform(range(1, n + 1), lambda j: {piece}), ','), '') as vals
-        from (select id, {_pick('id', 'm', generators.NAMES)} as name, {length} as n from {_IDS}))"""
 
 
 def _quadratic(rows: str, x: str, y: str, digits: int) -> str:
-    return f"""with p as (select ({x})::double as x, ({y})::double as y from {rows}),
-    s as (select count(*)::double s0, sum(x) s1, sum(x*x) s2, sum(x*x*x) s3, sum(x*x*x*x) s4, sum(y) t0, sum(x*y) t1, sum(x*x*y) t2 from p where x is not null and y is not null),
-    m as (select *, s0*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2) as det from s),
-    r as (select (t0*(s2*s4-s3*s3) + t1*(s2*s3-s1*s4) + t2*(s1*s3-s2*s2))/det a,
-                 (t0*(s2*s3-s1*s4) + t1*(s0*s4-s2*s2) + t2*(s1*s2-s0*s3))/det b,
-                 (t0*(s1*s3-s2*s2) + t1*(s1*s2-s0*s3) + t2*(s0*s2-s1*s1))/det c from m)
-    select round(a, {digits}) a, round(b, {digits}) b, round(c, {digits}) c from r"""
+    """The curve from covariances of u = x less its mean, u squared, and y; then taken back to x."""
+    return f"""with p as (select ({x})::double as x, ({y})::double as y from {rows}), q as (select * from p where x is not null and y is not null),
+    m as (select avg(x) as m from q), v as (select x - m as u, (x - m) * (x - m) as w, y, m from q, m),
+    k as (select var_pop(u) as uu, var_pop(w) as ww, covar_pop(u, w) as uw, covar_pop(u, y) as uy, covar_pop(w, y) as wy, avg(y) as y, avg(w) as w, any_value(m) as m from v),
+    c as (select *, (wy * uu - uy * uw) / (uu * ww - uw * uw) as c from k), b as (select *, (uy - c * uw) / uu as s from c)
+    select round(y - c * w - s * m + c * m * m, {digits}) as a, round(s - 2 * c * m, {digits}) as b, round(c, {digits}) as c, s, m from b"""
 
 
-def _kmeans(rounds: int, result: str) -> str:
+def _kmeans(rounds: int, result: str, k: int = 8) -> str:
     near = "list_min(list_transform((select list(c order by i) from {c} c), lambda c: struct_pack(d := (p.x-c.x)*(p.x-c.x)+(p.y-c.y)*(p.y-c.y), i := c.i))).i"
     order = ", ".join(ORDER)
     parts = [
         f"p as materialized (select {order}, l_quantity as x, l_extendedprice / 1000 as y from lineitem)",
-        f"c0 as materialized (select (row_number() over (order by {order}) - 1)::integer as i, x, y from (select * from p order by {order} limit 8))",
+        f"c0 as materialized (select (row_number() over (order by {order}) - 1)::integer as i, x, y from (select * from p order by {order} limit {k}))",
     ]
     for r in range(rounds + 1):
         parts.append(f"a{r} as materialized (select p.*, {near.format(c=f'c{r}')} as i from p)")
@@ -303,17 +267,6 @@ def _kmeans(rounds: int, result: str) -> str:
     return f"with {', '.join(parts)} {result.format(a=f'a{rounds}', order=order)}"
 
 
-def _points_sql() -> str:
-    sizes = [f"ceil((select count(*) from events) * {c[3]!r})::bigint" for c in generators.CLUSTERS]
-    start = ["0"]
-    for s in sizes:
-        start.append(f"({start[-1]} + {s})")
-    cases = " ".join(f"when id < {end} then {i}" for i, end in enumerate(start[1:-1]))
-    column = lambda k: f"{_list([c[k] for c in generators.CLUSTERS])}[k + 1]"
-    return f"""select round({column(0)} + {column(2)} * {_normal('id', 'x')}, 4) as x, round({column(1)} + {column(2)} * {_normal('id', 'y')}, 4) as y, k::integer as cluster_id
-        from (select id, case {cases} else 7 end as k from (select unnest(range({start[-1]})) as id))"""
-
-
 ORACLE = {
     "passthrough": "select l_orderkey as a from lineitem",
     "substring_filter": f"select doc_id, text as word from documents where text ilike '%{NEEDLE}%'",
@@ -322,27 +275,27 @@ ORACLE = {
     "token_split": f"with {_LISTS}, {_TOKENS} select name, value from tokens",
     "token_range_count": f"with {_LISTS}, {_TOKENS} {_COUNTED}",
     "linear_fit": "select round(regr_intercept(l_extendedprice, l_quantity), 3) as intercept, round(regr_slope(l_extendedprice, l_quantity), 3) as slope from lineitem",
-    "quadratic_fit": _quadratic("lineitem", "l_quantity", "l_extendedprice", 2),
+    "quadratic_fit": f"select a, b, c from ({_quadratic('lineitem', 'l_quantity', 'l_extendedprice', 2)})",
+    "quadratic_fit_shifted": f"select round(c, 2) as c, round(s + 2 * c * (1000025 - m), 2) as slope from ({_quadratic('lineitem', 'l_quantity + 1000000', 'l_extendedprice', 12)})",
     "exact_curve_fit": "select 2.0::double as a, -3.0::double as b, 0.5::double as c",
     "polynomial_fit_1": "select 0 as power, round(regr_intercept(p_retailprice, p_size), 3) as coefficient from part union all select 1, round(regr_slope(p_retailprice, p_size), 3) from part",
     "polynomial_fit_2": f"with f as ({_quadratic('lineitem', 'l_quantity', 'l_extendedprice', 2)}) select 0 as power, a as coefficient from f union all select 1, b from f union all select 2, c from f",
     "kmeans_sizes": _kmeans(10, "select i as cluster_id, count(*) as n from {a} group by i"),
+    "kmeans_view": _kmeans(2, 'select i as "clusterId", count(*) as n, round(max(x), 3) as most from {a} group by i', 4),
+    "fit_view": """with f as (select regr_intercept(l_extendedprice, l_quantity) as a, regr_slope(l_extendedprice, l_quantity) as b from lineitem),
+        c as (select 'R' as word, count(*) filter (where l_returnflag = 'R') as word_count from lineitem union all select 'other', count(*) filter (where l_returnflag is distinct from 'R') from lineitem)
+        select word, word_count, round(a + b * word_count, 1) as priced from c, f""",
     "kmeans_assign": _kmeans(0, "select {order}, i as cluster_id from {a}"),
-    "gen_points": _points_sql(),
-    "gen_curve": f"with {_CURVE} select round(x, 4) as x, round(y, 4) as y from curve",
-    "gen_curve_fit": "with " + _CURVE + ", " + _quadratic("curve", "x", "y", 2).removeprefix("with "),
-    "gen_words": f"with {_WORDS} select word from words",
-    "gen_words_count": f"with {_WORDS} select count(*) as n from words where word ilike '%database%'",
-    "gen_arrays": f'with {_arrays()} select name, vals as "values" from lists',
-    "gen_arrays_count": f"with {_arrays()}, {_TOKENS} {_COUNTED}",
     "log_median": "select event_type, round(median(value), 6) as value from events group by event_type",
     "log_unpivot": "select o_orderkey, 'v1' as run_id, o_totalprice as runtime from orders union all select o_orderkey, 'v2', o_totalprice * 2 from orders",
     "log_json": "select event_id, json_extract_string(props, '$.k')::bigint as k from events",
+    "log_json_columns": "select event_id, json_extract_string(props, '$.k')::bigint as k, json_extract_string(props, '$.missing') as missing from events",
+    "log_recoded": "select p_partkey, p_size, case substr(p_brand, 1, 7) when 'Brand#1' then 'first' when 'Brand#3' then 'third' end as kind from part where p_size % 5 = 0 and p_size <= 40",
     "log_split_name": "select o_orderkey, o_orderpriority || '_run' as name, o_custkey as data_size from orders",
     "log_runs": "select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber::varchar)::integer as run_id, l_linenumber::double as runtime from lineitem",
     "log_throughput": """with b as (select 'events' as system, event_type, abs(value) as r, 2 as t, 0.5 as c from events union all select 'orders', null, o_totalprice, 1, 0.0 from orders)
         select system, event_type, round(median(r * t), 4) as runtime_single_threaded, round(median(r * t + c), 4) as runtime_with_compilation_single_threaded from b group by system, event_type""",
-    "csv_roundtrip": "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders",
+    "csv_roundtrip": "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders",
     "window_label_count": "select time_bucket(interval '1 hour', ts) as start, count(*) filter (where event_type = 'error') as label_rows, count(*) filter (where event_type is distinct from 'error') as other_rows from events group by 1",
 }
 ORACLE |= {other: ORACLE["substring_count"] for other in ("substring_ilike_count", "substring_function_count")}

@@ -9,12 +9,16 @@ their results to SQL with ``contract.view``.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import AnalyzeResult, udtf
 from pyspark.sql.types import LongType, StringType, StructType
 
+from tabloom.operators.generators import PHRASES
+
 _INTEGER = re.compile(r"-?[0-9]+")
 
 
@@ -44,13 +48,41 @@ class TokenSplit:
                 yield row["name"], int(piece)
 
 
+def _uniform(key: int | str, stream: str) -> int:
+    """As functions.hashing.u32."""
+    return int(hashlib.md5(f"{key}:{stream}".encode()).hexdigest()[:8], 16)
+
+
+def _normal(key: int, stream: str) -> float:
+    """As functions.hashing.normal."""
+    radius = math.sqrt(-2.0 * math.log(1.0 - _uniform(key, stream + "r") / 2**32))
+    return radius * math.cos(2 * math.pi * (_uniform(key, stream + "a") / 2**32))
+
+
+class CreateWords:
+    """(first, n) -> (word): n rows of operators.generators.words, from row ``first`` on."""
+
+    def eval(self, first: int, n: int):
+        for i in range(first, first + n):
+            yield (f"{_uniform(i, 'l')} {PHRASES[_uniform(i, 'w') % len(PHRASES)]} {_uniform(i, 'r')}",)
+
+
+class CreateCurve:
+    """(first, n, a, b, c) -> (x, y): n rows of operators.generators.curve, from row ``first`` on."""
+
+    def eval(self, first: int, n: int, a: float, b: float, c: float):
+        a, b, c = float(a), float(b), float(c)
+        for i in range(first, first + n):
+            x = _uniform(i, "x") / 2**32 * 100.0
+            yield x, a + b * x + c * x * x + (a + b + c) * _normal(i, "e")
+
+
 def register_functions(spark: SparkSession) -> None:
-    """Give SQL the functions substring_filter and token_split."""
+    """Give SQL the functions substring_filter, token_split, create_words and create_curve.
+
+    A call with scalar arguments alone is one task; ``from range(0, n, step), lateral create_words(id, step)`` is many.
+    """
     spark.udtf.register("substring_filter", udtf(SubstringFilter))
     spark.udtf.register("token_split", udtf(TokenSplit))
-
-
-def allow_recursion(spark: SparkSession, levels: int = 200) -> None:
-    """Lift the limits of recursive queries: the rows for good, the levels to the number given."""
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(levels))
+    spark.udtf.register("create_words", udtf(CreateWords, returnType="word string"))
+    spark.udtf.register("create_curve", udtf(CreateCurve, returnType="x double, y double"))

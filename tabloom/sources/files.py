@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+#: Quotes inside quoted values are doubled.
+QUOTE = '"'
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a folder of Parquet tables; only Spark's reader touches the path."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -16,11 +21,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",") -> DataFrame:
     """A CSV file or folder with a header line. The schema is a must: inference would read all data twice."""
-    return spark.read.csv(path, header=True, schema=schema, sep=sep, mode="FAILFAST")
+    return spark.read.csv(path, header=True, schema=schema, sep=sep, mode="FAILFAST", escape=QUOTE)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    df.write.mode("overwrite").csv(path, header=True, sep=sep)
+    df.write.mode("overwrite").csv(path, header=True, sep=sep, escape=QUOTE)
 
 
 def write_table(df: DataFrame, name: str, mode: str = "errorifexists") -> None:
@@ -39,12 +44,15 @@ def from_pandas(spark: SparkSession, frame, view: str | None = None) -> DataFram
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where it is unset, as in tests on one machine, a temporary folder is set.
+    Where it is unset and all runs on one machine, as in tests, a temporary folder is
+    taken; on a cluster that raises, as executors don't see each other's folders.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("spark.tabloom.folder", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.tabloom.folder", folder)
     return folder.rstrip("/")

@@ -3,8 +3,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tabloom.functions import text
 from tabloom.operators import contract, fold, generators, iterative, rowwise
 from tabloom.plans import report, sqlapi
+from tabloom.sources import files
 
 
 def words(spark, values):
@@ -68,7 +70,20 @@ def test_fits(spark):
     assert all(math.isnan(v) for v in fold.quadratic_fit(empty).first())
     assert all(math.isnan(r["coefficient"]) for r in fold.polynomial_fit(empty, 1).collect())
     assert list(fold.linear_fit(empty).first()) == [None, None]
-    assert len(fold.quadratic_fit(xy(spark, [(1.0, 1.0), (2.0, 3.0)])).collect()) == 1
+    for two in ([(1.0, 1.0), (2.0, 3.0)], [(0.1, 1.0), (0.3, 2.0)] * 50, [(5.0, 1.0)] * 9):
+        rows = fold.quadratic_fit(xy(spark, two)).collect()
+        assert len(rows) == 1 and all(math.isnan(v) for v in rows[0])
+        assert all(math.isnan(r["coefficient"]) for r in fold.polynomial_fit(xy(spark, two)).collect())
+
+
+def test_fit_far_from_zero(spark):
+    """Epoch seconds: curvature and values come out, though powers of x are beyond a double's digits."""
+    curve = [(1.7e9 + i, 3.0 - 2 * i + i * i) for i in range(100)]
+    a, b, c = fold.quadratic_fit(xy(spark, curve)).first()
+    assert c == pytest.approx(1, rel=1e-9) and b + 2 * c * 1.7e9 == pytest.approx(-2, abs=1e-4)
+    assert [r["coefficient"] for r in fold.polynomial_fit(xy(spark, curve), 2).collect()] == pytest.approx([a, b, c])
+    far = fold.polynomial_fit(xy(spark, [(1e6 + i, 5.0 * i) for i in range(50)]), 1).collect()
+    assert [r["coefficient"] for r in far] == pytest.approx([-5e6, 5])
 
 
 def test_kmeans(spark):
@@ -106,3 +121,42 @@ def test_report(spark):
     name, size = report.split_name(F.col("full"))
     got = [tuple(r) for r in report.list_to_rows(logs, "times").select(name, size, "run_id", "runtime").collect()]
     assert got == [("kmeans_big", 100, 1, 1.0), ("kmeans_big", 100, 2, 2.5), ("kmeans_big", 100, 3, 3.0), ("plain", None, 1, 4.0)]
+
+
+def test_sql_generators(spark):
+    sqlapi.register_functions(spark)
+    want = [r["word"] for r in generators.words(spark, 50).collect()]
+    assert [r["word"] for r in spark.sql("select * from create_words(0, 50)").collect()] == want
+    dealt = spark.sql("select w.word from range(0, 50, 10) r, lateral create_words(r.id, 10) w").collect()
+    assert sorted(r["word"] for r in dealt) == sorted(want)
+    got = spark.sql("select * from create_curve(0, 20, 3, -2, 1)").collect()
+    for a, b in zip(got, generators.curve(spark, 20).collect(), strict=True):
+        assert tuple(a) == pytest.approx(tuple(b))
+
+
+def test_load_logs(spark, tmp_path):
+    path = tmp_path / "times.csv"
+    path.write_text('name,compilation_time,execution_times,db_state\nkmeans_1000,0.5,"[1.5, 2]","{""compilationmode"": ""o"", ""_dop"": 4}"\nother,0.1,[3],"{""compilationmode"": ""a""}"\n')
+    got = report.load_logs(spark, f"file://{path}", {"kmeans": "Clusters"})
+    rows = sorted((r["name"] or "", r["data_size"], r["run_id"], r["runtime"], r["compilationmode"], r["num_threads"]) for r in got.collect())
+    assert rows == [("", None, 1, 3.0, "a", None), ("Clusters", 1000, 1, 1.5, "o", 4), ("Clusters", 1000, 2, 2.0, "o", 4)]
+
+
+def test_random_start_does_not_depend_on_partitions(spark):
+    df = xy(spark, [(float(x * 7 % 40), float(x)) for x in range(40)])
+    a, b = (sorted(map(tuple, iterative.kmeans(df.repartition(n), k=4, init="random").collect())) for n in (1, 7))
+    assert a == b
+
+
+def test_text_helpers(spark):
+    df = spark.createDataFrame([("abcdef",), ("ab",), ("12\n",), (None,)], "s string")
+    assert [r[0] for r in df.select(text.drop_left(F.col("s"), 3)).collect()] == ["def", "", "", None]
+    assert [r[0] for r in df.select(text.matches_whole(F.col("s"), "[a-z]+|[0-9]+")).collect()] == [True, True, False, None]
+
+
+def test_shared_folder_on_a_cluster():
+    class Conf:
+        get = staticmethod(lambda key, default=None: "yarn" if key == "spark.master" else default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        files.shared_folder(type("Session", (), {"conf": Conf}))
