@@ -41,7 +41,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 #: Documents of a stratum, about.
-STRATUM = 100_000
+STRATUM = 5_000
 
 
 def word_count(text: Column) -> Column:

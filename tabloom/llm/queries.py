@@ -75,7 +75,7 @@ t as (select source, source_size, least(cap, weight * (select max(level) from l)
 d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
         ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':mix'), 1, 8))::bigint as h from documents),
 j as (select d.*, t.source_size, t.target, coalesce(t.target / nullif(t.source_size, 0), 0) as rate,
-        h % ((count(*) over (partition by d.source)) // 100000 + 1) as stratum from d join t on d.source is not distinct from t.source),
+        h % ((count(*) over (partition by d.source)) // 5000 + 1) as stratum from d join t on d.source is not distinct from t.source),
 k as (select *, row_number() over (partition by source, stratum order by size, h, doc_id nulls first) as draw,
         ('0x' || substr(md5(coalesce(source, '') || '/' || stratum::varchar || ':mix'), 1, 8))::bigint / 4294967296.0::double as u from j)
 select doc_id, size, source_size, target, ((floor(rate) + floor(u + (rate - floor(rate)) * draw) - floor(u + (rate - floor(rate)) * (draw - 1))) * size)::bigint as taken, source, rate from k
