@@ -11,8 +11,12 @@ streamed; they are found with array operations.
 
 Items go to the tasks in blocks of at most BLOCK_WORDS words, each a broadcast of
 bounded size and an automaton of its own; items longer than that are cut with an
-overlap of window - 1 words, which keeps every window. Each block is one more
-pass over the documents; nothing is shuffled.
+overlap of window - 1 words, which keeps every window. A benchmark of one block takes
+one pass over the documents, in which nothing is shuffled. More blocks take a pass
+each, one after the other, over documents that were numbered and written; a pass
+writes the hits of its block, and the broadcast is given up before the next block is
+read, so that driver and workers hold one block at a time. The hits of all passes,
+which are few, are joined to the documents by their numbers.
 
 Defined cases: NULL and empty texts have no words; NULL item ids are the empty
 string; repeated items and documents count as they are; an empty benchmark hits
@@ -21,11 +25,12 @@ nothing; other columns of the documents stay.
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.batches import text_batches
+from tabloom.llm.batches import free_name, text_batches
+from tabloom.sources.files import materialise
 
 BLOCK_WORDS = 200_000
 WINDOW = 10
@@ -189,9 +195,9 @@ def item_blocks(benchmark: DataFrame, window: int, most: int = BLOCK_WORDS) -> I
     yield block
 
 
-def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for s, e in sorted([*a, *b]):
+    for s, e in sorted(spans):
         if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:
@@ -213,29 +219,73 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cut:
 
     cut: the spans are cut out of the texts, and n_chars kept true.
     """
-    out = text_batches(docs.drop(*_HITS.names))
-    schema = T.StructType([*out.schema.fields, *_HITS.fields])
-    out = out.select("*", F.array().cast("array<array<int>>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"), F.lit(0).cast("long").alias("hit_words"))
+    docs = text_batches(docs.drop(*_HITS.names))
+    sc = docs.sparkSession.sparkContext
     blocks = item_blocks(benchmark, window)
-    block = next(blocks)
-    while block is not None:
-        after = next(blocks, None)
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-        out = out.mapInArrow(_matcher(sent, window, cut and after is None), schema)
-        block = after
-    return out
+    first, second = next(blocks), next(blocks, None)
+    schema = T.StructType([*docs.schema.fields, *_HITS.fields])
+    if second is None:
+        match = _matcher(sc.broadcast(first), uuid.uuid4().hex, window)
+        return docs.mapInArrow(_finisher(match, cut), schema)
+    row, own = free_name(docs, "hit_row"), free_name(docs, "hit_of")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    hits = []
+    for block in chain([first, second], blocks):
+        sent = sc.broadcast(block)
+        found = numbered.select(F.col(row).alias("row"), "text").mapInArrow(_hits_only(_matcher(sent, uuid.uuid4().hex, window)), "row long, spans array<array<int>>, items array<string>")
+        hits.append(materialise(found, "hits"))
+        sent.destroy()
+    every = reduce(DataFrame.union, hits).groupBy(F.col("row").alias(own))
+    every = every.agg(F.flatten(F.collect_list("spans")).alias("hit_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("hit_items"))
+    joined = numbered.join(every, F.col(row) == F.col(own), "left")
+    joined = joined.select(*docs.columns, *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("hit_spans", "array<array<int>>"), ("hit_items", "array<string>"))))
+    return joined.mapInArrow(_finisher(None, cut), schema)
+
+
+#: The automaton that this process built last, by the block's name.
+_BUILT: dict[str, Automaton] = {}
+
+
+def _matcher(block, name: str, window: int):
+    """A function that gives the automaton of a block; a worker builds it once and keeps one at a time."""
+
+    def automaton() -> Automaton:
+        if name not in _BUILT:
+            _BUILT.clear()
+            _BUILT[name] = Automaton(block.value, window)
+        return _BUILT[name]
+
+    return automaton
+
+
+def _hits_only(match):
+    def run(batches):
+        automaton = match()
+        for batch in batches:
+            rows, spans, items = [], [], []
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True):
+                got, names = automaton.match(words_of(text.as_py()))
+                if got:
+                    rows.append(row)
+                    spans.append([list(x) for x in got])
+                    items.append(sorted(names))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))], ["row", "spans", "items"])
+
+    return run
+
 
+def _finisher(match, cut: bool):
+    """Matches each text, or takes the hits of earlier passes; then merges spans, counts words and cuts."""
 
-def _matcher(block, window: int, cut: bool):
     def run(batches):
-        automaton = Automaton(block.value, window)
+        automaton = match() if match else None
         for batch in batches:
             spans, items, sizes = [], [], []
-            for text, s, i in zip(*(batch.column(c) for c in ("text", "hit_spans", "hit_items")), strict=True):
+            for i, text in enumerate(batch.column("text")):
                 words = words_of(text.as_py())
-                got, names = automaton.match(words)
-                spans.append([list(x) for x in _merged([tuple(x) for x in s.as_py()], got)])
-                items.append(sorted(names | set(i.as_py())))
+                got, names = automaton.match(words) if match else (map(tuple, batch.column("hit_spans")[i].as_py()), batch.column("hit_items")[i].as_py())
+                spans.append([list(x) for x in _merged(list(got))])
+                items.append(sorted(names))
                 sizes.append(len(words))
             columns = {c: batch.column(c) for c in batch.schema.names if c not in _HITS.names}
             if cut and any(spans):

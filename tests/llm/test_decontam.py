@@ -64,6 +64,31 @@ def test_blocks_and_long_items(spark, monkeypatch):
         assert (row["hit_words"], sum(e - s for s, e in row["hit_spans"]), row["hit_items"]) == (n, hit, found)
 
 
+def test_ten_blocks(spark, monkeypatch):
+    """Ten blocks: one automaton in a process at a time, one pass in the plan, cuts as with one block; long texts, repeated rows."""
+    r = random.Random(6)
+    some = lambda n: " ".join(r.choice("abcdefghijkl") * 3 for _ in range(n))
+    items = [(i, some(40)) for i in range(10)]
+    texts = [some(30) + " " + t + " " + some(30) for _, t in items] + [some(50), None, "", some(60_000) + " " + items[3][1]]
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in [*enumerate(texts), (2, texts[2])]], "doc_id long, text string, hit_row int, row string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(decontam.decontaminate(df, bench, 5, 0.9).collect(), key=str)
+    monkeypatch.setattr(decontam, "item_blocks", lambda b, w, f=decontam.item_blocks: f(b, w, 40))
+    assert len(list(decontam.item_blocks(bench, 5))) == 10
+    many = decontam.decontaminate(df, bench, 5, 0.9)
+    assert sorted(many.collect(), key=str) == one and len(one) == len(texts) + 1 and many.columns == df.columns
+    assert many._jdf.queryExecution().executedPlan().toString().count("+- MapInArrow") <= 2
+
+
+def test_one_automaton_at_a_time():
+    class Block:
+        value = [("a", [b"x", b"y"])]
+
+    for name in "pqr":
+        assert decontam._matcher(Block, name, 2)() is decontam._matcher(Block, name, 2)()
+        assert list(decontam._BUILT) == [name]
+
+
 def test_removal(spark):
     item = "one two three four five six seven eight nine ten eleven"
     clean = "Nothing to see here, one two three at most."
