@@ -1,7 +1,7 @@
 r"""Personal data and what gives it away, by information theory; DataFrame functions only.
 
 Patterns find the protected entities: e-mail and IP addresses, card and phone
-numbers. The corpus then tells which other words disclose them. For a term t and
+numbers, and secrets (passwords, keys and tokens that are named so). The corpus then tells which other words disclose them. For a term t and
 an entity e, with D documents in the corpus,
 
     p(e)   = documents with e / D
@@ -36,6 +36,10 @@ but no terms; no rows give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,16 +50,19 @@ DISCLOSURE = 0.9
 PRIOR = 1.0
 TERM = r"[\p{L}\p{N}]+"
 
-# The kinds in their order, and their patterns.
-KINDS = ("email", "ip", "card", "phone")
+# The base kinds in their order, and their patterns.
+BASE = ("email", "ip", "card", "phone")
+#: And what is a secret: something named as one, an equals sign or colon, and a run of letters, digits and signs.
+KINDS = (*BASE, "secret")
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    "secret": r"(?i)(?<![\p{L}\p{N}])(?:token|secret|password|passwd|(?:api|access|private)[_-]?key)[\"']?[ ]?[=:][ ]?[\"']?[A-Za-z0-9+/_.~-]{12,}+[=\"']*+",
 }
-#: Without these in it a text can't match.
-SIGNS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+#: Without one of these in it a text can't match.
+SIGNS = {"email": "@", "ip": ".", "card": "", "phone": "+", "secret": "=:"}
 _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 
@@ -95,27 +102,52 @@ def located(text: Column, pattern: str) -> Column:
     return F.element_at(F.transform(F.array(both), lambda b: _placed(b["found"], b["gaps"])), 1)
 
 
+#: Elements of a run whose sums are worked out one by one.
+RUN = 256
+
+
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _summed(numbers: Column) -> Column:
+    """struct(at, out): the sum of a short array and, for each element, the sum of those before."""
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(numbers, empty, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+
+def _before(numbers: Column) -> Column:
+    """For each element of an array (not an empty one) the sum of those before: run by run, then the runs' own sums."""
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / RUN).cast("int")), lambda i: _summed(F.slice(numbers, i * RUN + 1, F.lit(RUN))))
+
+    def joined(each: Column) -> Column:
+        starts = _summed(F.transform(each, lambda r: r["at"]))["out"]
+        return F.flatten(F.zip_with(each, starts, lambda r, s: F.transform(r["out"], lambda x: x + s)))
+
+    return _named(runs, joined)
+
+
 def _placed(found: Column, gaps: Column) -> Column:
-    def add(acc: Column, i: Column) -> Column:
-        gap, value = F.get(gaps, i), F.get(found, i)
-        start = acc["at"] + F.length(gap)
-        span = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
-        return F.struct((start + F.length(value)).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda f, g: F.struct(f.alias("value"), F.length(g).alias("gap")))
+
+    def spans(each: Column) -> Column:
+        starts = _named(F.transform(each, lambda p: p["gap"] + F.length(p["value"])), _before)
+        return F.zip_with(each, starts, lambda p, s: F.struct((s + p["gap"]).alias("start"), (s + p["gap"] + F.length(p["value"])).alias("end"), p["value"].alias("value")))
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), empty, add)["out"])
+    return F.when(F.size(found) > 0, _named(pairs, spans))
 
 
 def entities(text: Column, kind: str) -> Column:
     """The valid mentions of a kind as ``located`` gives them; a failing match isn't tried again."""
-    sign = SIGNS[kind]
-    may = F.contains(text, F.lit(sign)) if sign else text.rlike("[0-9](?:[ -]?[0-9]){15}")
+    signs = [F.contains(text, F.lit(c)) for c in SIGNS[kind]]
+    may = reduce(or_, signs) if signs else text.rlike("[0-9](?:[ -]?[0-9]){15}")
     spans = F.when(may, located(text, PATTERNS[kind]))
     return F.coalesce(F.filter(spans, lambda s: _valid(kind, s["value"])), F.array().cast(f"array<{_SPAN}>"))
 
 
 def find_entities(docs: DataFrame) -> DataFrame:
-    """(doc_id, email, ip, card, phone): the mentions of each row."""
+    """(doc_id, email, ip, card, phone, secret): the mentions of each row."""
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", *(entities(text, k).alias(k) for k in KINDS))
 
@@ -182,12 +214,22 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISC
 
 
 def _places(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, start, end): all places of each document's terms; words and what lies between them alternate, so lengths add up."""
+    """(doc_id, start, end): all places of each document's terms, but those of words that reach into mentions.
+
+    Words and what lies between them alternate, so lengths add up to places. In the
+    order of places, a word is apart from all mentions if none that starts before its
+    end ends after its start.
+    """
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).join(small(terms.select("doc_id").distinct()), "doc_id", "left_semi")
     pieces = rows.select("doc_id", "row", F.posexplode(F.regexp_extract_all("text", F.lit(rf"{TERM}|[^\p{{L}}\p{{N}}]+"), F.lit(0))).alias("at", "piece"))
     end = F.sum(F.length("piece")).over(Window.partitionBy("row").orderBy("at")).cast("int")
-    pieces = pieces.select("doc_id", F.lower("piece").alias("term"), (end - F.length("piece")).alias("start"), end.alias("end"))
-    return pieces.join(terms, ["doc_id", "term"], "left_semi").select("doc_id", "start", "end")
+    pieces = pieces.select("doc_id", "row", F.lower("piece").alias("term"), (end - F.length("piece")).alias("start"), end.alias("end"))
+    words = pieces.join(terms, ["doc_id", "term"], "left_semi").select("doc_id", "row", "start", "end", F.col("end").alias("place"), F.lit(0).alias("mention"))
+    mentions = rows.select("doc_id", "row", F.explode(F.concat(*(F.transform(entities(F.col("text"), k), lambda s: F.struct(s["start"], s["end"])) for k in KINDS))).alias("s"))
+    mentions = mentions.select("doc_id", "row", "s.start", "s.end", F.col("s.start").alias("place"), F.lit(1).alias("mention"))
+    reached = F.max(F.when(F.col("mention") == 1, F.col("end"))).over(Window.partitionBy("row").orderBy("place", "mention").rowsBetween(Window.unboundedPreceding, -1))
+    every = words.union(mentions).withColumn("reached", reached)
+    return every.where("mention = 0 and coalesce(reached, 0) <= start").select("doc_id", "start", "end")
 
 
 def _listed(spans: Column, kind: str) -> Column:
@@ -195,23 +237,28 @@ def _listed(spans: Column, kind: str) -> Column:
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, email, ip, card, phone, term) with arrays of (start, end, ...), each in the order of starts."""
+    """(doc_id, email, ip, card, phone, secret, term) with arrays of (start, end, ...), each in the order of starts."""
     found = materialise(find_entities(docs), "entities")
     terms = _places(docs, materialise(disclosing_terms(docs, found), "terms"))
     terms = terms.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("term"))
     out = found.join(terms, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    # words of mentions, and words that reach into them, are no terms there
-    inside = F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS))
-    outside = F.filter("term", lambda t: ~F.exists(inside, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return out.withColumn("term", F.coalesce(outside, F.array().cast("array<struct<start: int, end: int>>")))
+    return out.withColumn("term", F.coalesce("term", F.array().cast("array<struct<start: int, end: int>>")))
 
 
 def span_digest(docs: DataFrame) -> DataFrame:
-    """For each document the numbers of mentions, a hash of their spans, and all spans."""
+    """For each document the numbers of mentions, a hash of the base kinds' spans, all spans, and numbers of secrets, terms and spans."""
     found = find_spans(docs)
-    base = F.array_join(F.concat(*(_listed(F.col(k), k) for k in KINDS)), ",")
+    base = F.array_join(F.concat(*(_listed(F.col(k), k) for k in BASE)), ",")
     spans = F.array_join(F.concat(*(_listed(F.col(k), k) for k in (*KINDS, "term"))), ",")
-    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+    sizes = {k: F.size(k).cast("long") for k in (*KINDS, "term")}
+    return found.select(
+        "doc_id",
+        *(sizes[k].alias(f"n_{k}") for k in BASE),
+        F.sha2(base, 256).alias("base_sha256"),
+        spans.alias("spans"),
+        *(sizes[k].alias(f"n_{k}") for k in ("secret", "term")),
+        reduce(add, sizes.values()).alias("n_spans"),
+    )
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
