@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 from operator import eq
 
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.batches import text_batches
+from tabloom.llm.batches import free_name, text_batches
 from tabloom.sources.files import materialise
 
 BUCKETS = 1 << 17
@@ -242,12 +243,11 @@ def fit(docs: DataFrame, graded: DataFrame, n_grades: int = 3, most: int = MOST_
     return Model(model.weights, model.thresholds, min(0.9, cut) if cut is not None else 0.5)
 
 
-_JUDGED = [T.StructField("expected_grade", T.DoubleType()), T.StructField("p_top", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
+_JUDGED = {"expected_grade": T.DoubleType(), "p_top": T.DoubleType(), "accepted": T.BooleanType()}
 
 
-def judge(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The documents with expected_grade, p_top (the probability of the top grade) and accepted."""
-    names = [f.name for f in _JUDGED]
+def judge(docs: DataFrame, model: Model | None, names: Sequence[str] = tuple(_JUDGED)) -> DataFrame:
+    """The documents with expected_grade, p_top (the probability of the top grade) and accepted, or under other names."""
     out = text_batches(docs.drop(*names))
     if model is None:
         return out.select("*", *(F.lit(None).cast("double").alias(n) for n in names[:2]), F.lit(True).alias(names[2]))
@@ -260,7 +260,7 @@ def judge(docs: DataFrame, model: Model | None) -> DataFrame:
             tails = sent.value.tails(scores)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= sent.value.cut)], [*batch.schema.names, *names])
 
-    return out.mapInArrow(run, T.StructType([*out.schema.fields, *_JUDGED]))
+    return out.mapInArrow(run, T.StructType([*out.schema.fields, *map(T.StructField, names, _JUDGED.values())]))
 
 
 def quality_grades(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -271,4 +271,5 @@ def quality_grades(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def select_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier accepts, with the columns of the input."""
-    return judge(docs, fit(docs, grade_labels(labels))).where("accepted").select(docs.columns)
+    names = [free_name(docs, n) for n in _JUDGED]
+    return judge(docs, fit(docs, grade_labels(labels)), names).where(F.col(names[2])).select(docs.columns)
