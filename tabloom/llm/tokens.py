@@ -75,8 +75,11 @@ class TokenTree:
     def __init__(self, text: str, counter: Counter):
         self.text, self.counter, self.encoded = text, counter, 0
         pieces = counter.pattern.findall(text)
-        lengths, counts = list(map(len, pieces)), list(map(counter.count, pieces))
-        starts = range(0, len(pieces), LEAF)
+        self._build(list(map(len, pieces)), list(map(counter.count, pieces)))
+
+    def _build(self, lengths: list[int], counts: list[int]) -> None:
+        """Leaves of LEAF pre-tokens; a leaf that edits have made several times as large has the tree built anew."""
+        starts = range(0, len(lengths), LEAF)
         self.leaves = [(lengths[i : i + LEAF], counts[i : i + LEAF]) for i in starts] or [([], [])]
         self.size = 1
         while self.size < len(self.leaves):
@@ -148,6 +151,9 @@ class TokenTree:
         self._put(leaf, [*kept[0], *fresh_lengths, *(rest[0] if at == leaf else [])], [*kept[1], *fresh_counts, *(rest[1] if at == leaf else [])])
         if at != leaf:
             self._put(at, *rest)
+        if len(self.leaves[leaf][0]) > 4 * LEAF:
+            lengths, counts = ([x for part in self.leaves for x in part[i]] for i in (0, 1))
+            self._build(lengths, counts)
 
     def _put(self, leaf: int, lengths: list[int], counts: list[int]) -> None:
         self.leaves[leaf] = (lengths, counts)

@@ -37,6 +37,15 @@ def test_long_text_is_not_encoded_again():
     assert tree.encoded < 60 * 600
 
 
+def test_many_edits_at_one_place():
+    """Leaves stay bounded however many edits fall on one of them."""
+    tree = tokens.TokenTree("one two three", OWN)
+    for i in range(2000):
+        tree.edit(4, 4, f"w{i} ")
+    assert tree.tokens == len(FULL.encode_ordinary(tree.text)) and tree.chars[1] == len(tree.text)
+    assert max(len(leaf[0]) for leaf in tree.leaves) <= 4 * tokens.LEAF and len(tree.leaves) > 20
+
+
 def test_table(spark, sf):
     docs = tokens.with_sample_edits(spark.read.parquet(f"{sf}/documents.parquet"))
     got = {r["doc_id"]: r for r in tokens.edited_counts(docs).collect()}
