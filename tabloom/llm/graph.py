@@ -52,13 +52,15 @@ def components(links: DataFrame) -> DataFrame:
 
 #: Comparisons for each member of open buckets above which stars come first, as long as each round halves them.
 DENSE = 1000
+#: Comparisons of a bucket that are made in one place, about.
+CELL = 2_000_000
 
 
 def _others(members: DataFrame) -> list[Column]:
     return [F.col(c).alias(f"x_{c}") for c in members.columns if c not in ("key", "size")]
 
 
-def bucket_components(members: DataFrame, near: Callable[[], Column], confirm: Callable[[DataFrame], DataFrame], enrich: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
+def bucket_components(members: DataFrame, near: Callable[[], Column], confirm: Callable[[DataFrame], DataFrame], enrich: Callable[[DataFrame], DataFrame] | None = None, dense: int = DENSE) -> DataFrame | None:
     """(node, component) as ``components`` gives them, from members of buckets (key, size, rep, ...).
 
     near: whether a row and another one (its columns have the prefix x_) may be
@@ -70,7 +72,9 @@ def bucket_components(members: DataFrame, near: Callable[[], Column], confirm: C
     members of other parts than their bucket's largest can have links that are
     still missing; in the end these are compared with all members of other parts,
     unless that would be many comparisons and rounds of stars still halve them by
-    joining parts.
+    joining parts. Buckets whose comparisons are many are dealt out over cells, so
+    no task gets them whole; a bucket of unlike members still costs comparisons in
+    proportion to the square of its size.
     """
     members = materialise(members.withColumn("part", F.col("rep")).withColumn("keys", F.lit(None).cast("array<long>")), "members")
     if not members.head(1):
@@ -79,20 +83,27 @@ def bucket_components(members: DataFrame, near: Callable[[], Column], confirm: C
     while True:
         counts = members.groupBy("key", "part").agg(F.count("*").alias("m"))
         if turn:
-            whole = counts.groupBy("key").agg(F.max_by("part", "m").alias("main"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"))
+            whole = counts.groupBy("key").agg(F.max_by("part", "m").alias("main"), F.max("m").alias("most"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"))
             whole = materialise(whole, "buckets")
             cost, rows = whole.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.sum("all")).first()
             if not cost:
                 return parts
-        if turn and (cost <= DENSE * rows or cost > before / 2):
-            outside = members.join(whole.select("key", "main"), "key").where("part != main").drop("main")
-            heads, last = outside.select("key", *_others(members)), True
+        if turn and (cost <= dense * rows or cost > before / 2):
+            # a large bucket's outsiders are dealt out over cells, and each cell gets all members
+            cells = F.ceil((F.col("all") - F.col("most")) * F.col("all") / CELL).cast("int")
+            rows = members.join(whole.select("key", "main", F.greatest(F.lit(1), cells).alias("cells")), "key").withColumn("out", F.col("part") != F.col("main"))
+            heads, last = rows.where("out").select("key", F.pmod(F.xxhash64("rep"), "cells").cast("int").alias("cell"), *_others(members)), True
+            dealt = rows.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("main", "cells")
         else:
             order = F.min_by(F.struct(*_others(members)), F.xxhash64("rep", "key", F.lit(turn)))
             heads, last = members.groupBy("key").agg(order.alias("h")).select("key", "h.*"), False
         # a pair that shares several buckets comes from one of them
         here = F.col("keys").isNull() | (F.array_min(F.array_intersect("keys", "x_keys")) == F.col("key"))
-        pairs = members.join(heads, "key").where((F.col("part") != F.col("x_part")) & near() & (here if last else F.lit(True)))
+        if last:
+            once = ~F.col("out") | (F.col("rep") < F.col("x_rep"))  # two outsiders meet twice
+            pairs = dealt.join(heads, ["key", "cell"]).where(once & (F.col("part") != F.col("x_part")) & near() & here)
+        else:
+            pairs = members.join(heads, "key").where((F.col("part") != F.col("x_part")) & near())
         pairs = pairs.select(F.greatest("rep", "x_rep").alias("u"), F.least("rep", "x_rep").alias("v")).distinct()
         new = materialise(confirm(pairs), "confirmed")
         links = new if links is None else links.union(new)

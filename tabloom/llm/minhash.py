@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.batches import text_batches
+from tabloom.llm.batches import free_name, text_batches
 from tabloom.llm.graph import bucket_components
 from tabloom.sources.files import materialise
 
@@ -224,12 +224,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: tuple[int, i
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """One document of each group, that with the smallest id, and one row of each document. Rows without id stay."""
+    """One document of each group, that with the smallest id, and one row of each id and text. Rows without id stay."""
     found = near_duplicates(docs, words, threshold)
     found = materialise(found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")), "found")
     out = docs.join(small(found.where("not kept").select("doc_id")), "doc_id", "left_anti").select(docs.columns)
     many = found.where("kept and n > 1").select("doc_id")
     if many.head(1):
         many = small(many)
-        out = out.join(many, "doc_id", "left_anti").union(out.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+        print_ = free_name(out, "print")
+        one = out.join(many, "doc_id", "left_semi").withColumn(print_, F.xxhash64("text")).dropDuplicates(["doc_id", print_]).drop(print_)
+        out = out.join(many, "doc_id", "left_anti").union(one.select(docs.columns)).select(docs.columns)
     return out

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -58,6 +59,43 @@ def test_estimates_similarity():
         assert same == pytest.approx(share / (2 - share), abs=0.06)
 
 
+@pytest.mark.parametrize("threshold", [(4, 5), (85, 100)])
+def test_pair_recall_at_the_threshold(threshold):
+    """Of pairs of sets just at the threshold practically all share a band."""
+    r = np.random.default_rng(2)
+    bands, missed = minhash.band_count(threshold), 0
+    for _ in range(2000):
+        n = int(r.integers(20, 400))
+        common = -(-2 * n * threshold[0] // (threshold[0] + threshold[1]))
+        a = r.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[:common], r.integers(0, 2**63, n - common).astype(np.uint64)])
+        x, y = (minhash.band_keys(minhash.signature(s, bands * minhash.ROWS)) for s in (a, b))
+        missed += not (x == y).any()
+    print("missed", missed, "of 2000")
+    assert missed <= 2
+
+
+def test_template_below_the_threshold(spark):
+    """Thousands of documents that share a template without being near: the bucket's comparisons are dealt out, and none is linked."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(3000):
+        words = list(base)
+        for i in r.sample(range(200), 9):
+            words[i] = f"x{r.randrange(10**9)}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    start = time.time()
+    assert minhash.near_duplicates(df, 3, (85, 100)).where("kept").count() == 3000
+    assert time.time() - start < 120
+
+
+def test_repeated_ids_with_other_texts(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "u v w x y z"), (2, "k l m n o p")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in minhash.deduplicate(df).collect()) == [(1, "a b c d e f"), (1, "u v w x y z"), (2, "k l m n o p")]
+
+
 def test_table(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     check(spark, texts, 3, 85, 100)
