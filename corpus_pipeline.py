@@ -2,7 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is
 written as Parquet and read again as the next one's docs. All stages but the last
-keep the columns of documents.
+keep the columns of documents, and also columns of other names that the table has,
+whatever they are called; the last adds hilbert, shard and slot (columns of these
+names are replaced).
+
+Defined cases: NULL texts count as empty for the classifier, have no shingles, no
+benchmark words and size 0, so they stay only if the classifier keeps them and their
+source's rate has whole copies or a draw falls on them; NULL ids stay unless
+rejected; NULL sources are a source, NULL languages and lengths fill the lowest
+cells. Texts are worked through whole, whatever their length. Of rows that repeat an
+id and its text one stays. Without labels of two grades nothing is rejected, without
+a benchmark nothing is cut, and no documents give no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +43,7 @@ def mixed(spark, docs, sf_dir):
 
 def sharded(spark, docs, sf_dir):
     """Documents get their shard and slot along the Hilbert curve."""
-    return sharding.hilbert_shards(docs, 24, ties=("n_chars",))
+    return sharding.hilbert_shards(docs, 24, ties=("n_chars", "text"))
 
 
 STAGES = [
