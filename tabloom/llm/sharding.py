@@ -1,7 +1,7 @@
 """Shards along a Hilbert curve over several metadata dimensions.
 
 Each dimension is quantised into 2**BITS cells of about equal numbers of rows, by
-quantiles of its whole values in a sample of bounded size; a row's cells give its place on the curve; rows in the order of that place are
+quantiles of the whole values of all rows; a row's cells give its place on the curve; rows in the order of that place are
 cut into runs, the shards. Rows that are close in all dimensions share shards,
 so the value ranges of each shard's files are narrow in every dimension and
 filters on any of them skip files.
@@ -25,10 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm.batches import free_name
+from tabloom.sources.files import discard, materialise
 
 BITS = 4
-#: Rows that the boundaries of cells are taken from, about.
-SAMPLE = 20_000
 SALTS = 64
 
 
@@ -64,25 +63,35 @@ def curve_table(dimensions: int, bits: int = BITS) -> list[int]:
     return [hilbert_distance([(i // side**k) % side for k in reversed(range(dimensions))], bits) for i in range(side**dimensions)]
 
 
-def sample_boundaries(df: DataFrame, dimensions: Sequence[str], side: int, most: int = SAMPLE) -> dict[str, list]:
+def boundaries(df: DataFrame, dimensions: Sequence[str], side: int) -> dict[str, list]:
     """For each dimension the values that cut it into ``side`` cells of about equal numbers of rows.
 
-    They are quantiles of whole values in a sample of about ``most`` rows, chosen by a hash of their values; 2 * most rows
-    come to the driver at most.
+    They are quantiles of the whole values of all rows. The numbers of rows of the different values are dealt out by
+    ranges of values; running sums within a range start from the sums of the ranges before it. A number for each range
+    and ``side`` - 1 values come to the driver.
     """
-    rows = df.count()
-    narrow = df.select(*dimensions)
-    if rows > most:
-        place = F.pmod(F.xxhash64(*(c for c, t in df.dtypes if not t.startswith("map"))), F.lit(1 << 30))
-        narrow = df.where(place < int((1 << 30) * most / rows)).select(*dimensions).limit(2 * most)
-    sample = narrow.collect()
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = {}
     for d in dimensions:
-        values = sorted(v for r in sample if (v := r[d]) is not None)
-        nulls = len(sample) - len(values)
+        counts = df.groupBy(F.col(d).alias("value")).agg(F.count("*").alias("rows"))
+        counts = materialise(counts.repartitionByRange(ranges, "value").withColumn("range", F.spark_partition_id()), "values")
+        known = counts.where("value is not null")
+        nulls, *_ = counts.where("value is null").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()
+        starts, total = [], 0
+        for r in sorted(known.groupBy("range").agg(F.sum("rows").alias("rows")).collect()):
+            starts.append((r["range"], total))
+            total += r["rows"]
         # NULLs fill the lowest cells
-        places = (len(sample) * k // side - nulls for k in range(1, side))
-        out[d] = [values[i] for i in places if 0 <= i < len(values)]
+        places = [i for k in range(1, side) if 0 <= (i := (total + nulls) * k // side - nulls) < total]
+        out[d] = []
+        if places:
+            start = F.element_at(F.create_map(*(F.lit(x).cast("long") for s in starts for x in s)), F.col("range").cast("long"))
+            upto = F.sum("rows").over(Window.partitionBy("range").orderBy("value"))
+            running = known.select("value", "rows", (start + upto).alias("upto"))
+            held = sum((F.col("upto") - F.col("rows") <= i).cast("int") * (F.col("upto") > i).cast("int") for i in places)
+            found = running.select("value", held.alias("held")).where("held > 0").collect()
+            out[d] = [r["value"] for r in found for _ in range(r["held"])]
+        discard(counts)
     return out
 
 
@@ -90,7 +99,7 @@ def with_hilbert(df: DataFrame, dimensions: Sequence[str], bits: int = BITS) ->
     """The rows with ``hilbert``, the place of their cell on the curve."""
     side = 1 << bits
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    cuts = sample_boundaries(df, dimensions, side)
+    cuts = boundaries(df, dimensions, side)
     code = F.lit(0)
     for d in dimensions:
         # the number of boundaries that the value reaches, after the cells that NULLs fill

@@ -53,6 +53,15 @@ def test_cells(spark):
     assert set(b[b.b.isna()].hilbert) == {0} and b[b.b.notna()].hilbert.min() == 4
     assert b[b.b.notna()].sort_values("b").hilbert.is_monotonic_increasing
 
+def test_boundaries_of_all_rows(spark):
+    """Quantiles of every row of a table beyond any sample: a hot value, NULLs, texts and numbers."""
+    rows = spark.range(50_000).selectExpr("case when id % 3 = 0 then null when id % 3 = 1 then 'hot' else 'v' || pmod(xxhash64(id), 20011) end as value", "pmod(xxhash64(id, 1), 1000003) as rows")
+    got = sharding.boundaries(rows, ["value", "rows"], 16)
+    for d in ("value", "rows"):
+        every = sorted((r[d] is not None, r[d] or "") for r in rows.select(d).collect())
+        want = [every[len(every) * k // 16][1] for k in range(1, 16) if every[len(every) * k // 16][0]]
+        assert sorted(got[d]) == want
+
 
 def test_clashing_names(spark):
     names = ["_salt", "salt", "row", "start", "total", "rank", "_rank", "_c0", "_v0"]
