@@ -57,6 +57,23 @@ def test_token_split(spark):
     assert rowwise.token_split(piped, sep="|").count() == 2
 
 
+def test_table_functions_take_batches(spark):
+    """The functions over tables are Arrow ones, batch by batch, and agree with the operators on odd rows."""
+    sqlapi.register_functions(spark)
+    zeros = "0" * 5000
+    rows = [("a", f"{zeros}12,-{zeros},-9223372036854775808,-9223372036854775809,-,--1,1\n"), (None, "7,x"), ("b", None), ("c", "é1,１,1"), ("d", "000000000000000000042,999999999999999999,9999999999999999999")]
+    rows = spark.createDataFrame(rows * 300, "name string, values string").repartition(2)
+    rows.createOrReplaceTempView("batched_lists")
+    key = lambda r: (r[0] or "", r[1])
+    got = spark.sql("select * from token_split(table(batched_lists))")
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, rowwise.token_split(rows).collect()), key=key)
+    assert got.count() == 300 * 7 and spark.sql("select * from token_split(table(select * from batched_lists limit 0))").count() == 0
+    rows.selectExpr("values as word").createOrReplaceTempView("batched_words")
+    got = spark.sql("select * from substring_filter(table(batched_words), 'É1')")
+    assert [r["word"] for r in got.collect()] == ["é1,１,1"] * 300
+    assert "ArrowEvalPythonUDTF" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def xy(spark, rows):
     return spark.createDataFrame(rows, "x double, y double")
 
