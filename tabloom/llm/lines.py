@@ -9,17 +9,17 @@ counted in letters for lines of IN_LETTERS characters at most, in words for long
 ones, where words stand for each other if they share one of CODES codes; there IN_WORDS
 is the similarity asked for.
 
-Blocks: each of K keys takes W neighbouring bits of one of the longs and a cell of
+Blocks: each of KEYS keys takes BITS neighbouring bits of one of the longs and a cell of
 the lengths (lines of like length; the cells of different keys are shifted against
-each other). Lines that agree on a key are candidates. As chance mates of a key
-double with the lines, W grows with the logarithm of the number of lines, and K so
-that of pairs whose bits differ at the rate FLIP the share FOUND is found. By the
+each other). Lines that agree on a key are candidates. Neither number depends on the
+table, so whether two lines are linked depends on these two alone; chance mates of a
+key grow with the lines, and their sketches are compared. By the
 pigeonhole principle pairs that differ in fewer bits than there are keys apart are
 found for certain. Of each connected group of lines the first occurrence, by document
 id and line number, stays.
 
 Equal lines are one class from the start, by two 64-bit hashes. Lines whose buckets
-hold no line with a like sketch (31 bits of the other long) leave before any more is
+hold no line with a like sketch (the other long) leave before any more is
 known of them; parities of groups of words bound from below how many words two lines
 differ in, so that lines that share a passage only aren't compared; buckets are worked off as in graph.bucket_components, without making
 all pairs. All is done with DataFrame functions; texts are read for the SimHashes, and
@@ -43,32 +43,32 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.graph import bucket_components
 from tabloom.llm.minhash import small
-from tabloom.sources.files import discard, materialise
+from tabloom.sources.files import materialise
 
 SIMILARITY = (9, 10)
 #: In words, as one changed letter changes a word.
 IN_WORDS = (88, 100)
-DISTANCE = 26
-#: Bits of the sketches, and how many may differ.
-SKETCH = (31, 8)
-FLIP = 0.1
-FOUND = 0.94
-#: A key has so many bits fewer than the logarithm of the number of lines; the cells of lengths stand for these.
-SPARE = 3
-LEAST_BITS = 8
+DISTANCE = 32
+#: How many bits of the other long may differ.
+SKETCH = 18
+#: Bits of a key, and keys of a line, for tables of any size.
+BITS = 18
+KEYS = 26
 #: Lengths of a cell differ by this factor at most.
 CELL = 1.6
 
 SIDE = 63
 _LANE = 9
 _LANES = sum(1 << (_LANE * k) for k in range(7))
+_WIDE = sum(((1 << _LANE) - 1) << (3 * _LANE * k) for k in range(2))
 #: As in graph.bucket_components: pairs of lines cost more than bounds, so stars go on for longer.
 DENSE = 2
 #: Edits are counted in letters where the longer line has so many characters at most, else in words.
-IN_LETTERS = 64
+IN_LETTERS = 128
 CODES = 20_000
 #: Letters of the words that count; shorter ones are too common to tell lines apart, and count in lines that have no others.
 LONG = 4
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words whose bits are summed in one row: what a counter can hold with its carry.
 TURN = 256
 
@@ -83,13 +83,13 @@ def normalised(line: Column) -> Column:
 
 def coded(words: Column) -> Column:
     """A text of one character for each word, one of CODES by its hash."""
-    code = lambda w: F.lpad(F.hex(F.lit(0x4E00) + F.pmod(F.xxhash64(w), F.lit(CODES))), 4, "0")
+    code = lambda w: F.hex(F.lit(0x4E00) + F.pmod(F.xxhash64(w), F.lit(CODES)))
     return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-16BE")
 
 
-def _exploded(docs: DataFrame, *more: str) -> DataFrame:
+def _exploded(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line) of each line."""
-    return docs.select("doc_id", *more, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def _any_bits(parts: list[Column]) -> Column:
@@ -103,36 +103,43 @@ def _signs(side: int) -> Column:
     return _any_bits([F.shiftleft(c, j) for j, c in enumerate(over)])
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Materialised, and the files of its shuffles deleted at once instead of when the driver's memory is cleared."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return materialise(df, name)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, h1, h2, n, size, s0, s1, p0, p1): a row for each line with letters of the documents with ids; size is
     its number of words, p0 and p1 tell which of 128 groups of its long words are odd in number."""
-    rows = docs.where("doc_id is not null").select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    rows = _exploded(rows, "row").select("doc_id", "row", "line_no", words_of(F.col("line")).alias("words"))
-    rows = rows.select("doc_id", "row", "line_no", "words", F.array_join("words", " ").alias("norm"))
-    keys = ["doc_id", "row", "line_no", "h1", "h2", "n", "size"]
+    rows = _exploded(docs.where("doc_id is not null")).select("doc_id", "line_no", words_of(F.col("line")).alias("words"))
+    rows = rows.select("doc_id", "line_no", "words", F.array_join("words", " ").alias("norm"), F.monotonically_increasing_id().alias("row"))
+    facts = ["line_no", "h1", "h2", "n", "size"]
     # all that is said of a line comes before its words are exploded, else it would be worked out for each word
-    rows = rows.select(*keys[:3], F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.length("norm").alias("n"), F.size("words").alias("size"), F.rlike("norm", F.lit(rf"[^ ]{{{LONG}}}")).alias("long"), "words")
-    words = rows.select(*keys, "long", F.posexplode("words").alias("at", "word"))
-    words = words.where(~F.col("long") | (F.length("word") >= LONG)).select(*keys, "word", F.expr(f"at div {TURN}").alias("turn"), F.xxhash64("word").alias("w0"), F.xxhash64(F.lit(1), "word").alias("w1"))
+    rows = rows.select("doc_id", "row", "line_no", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.length("norm").alias("n"), F.size("words").alias("size"), F.exists("words", lambda w: F.length(w) >= LONG).alias("long"), "words")
+    words = rows.select("doc_id", "row", *facts, "long", F.posexplode("words").alias("at", "word"))
+    words = words.where(~F.col("long") | (F.length("word") >= LONG)).select("doc_id", "row", *facts, "long", F.expr(f"at div {TURN}").alias("turn"), F.xxhash64("word").alias("w0"), F.xxhash64(F.lit(1), "word").alias("w1"))
     sums = [F.sum(F.shiftrightunsigned(f"w{s}", j).bitwiseAND(F.lit(_LANES))).alias(f"l{s}_{j}") for s in (0, 1) for j in range(_LANE)]
     # a bit for each of 128 groups of long words: is their number odd
-    odd = [F.bit_xor(F.when(F.length("word") >= LONG, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(f"w{s}", F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"p{s}") for s in (0, 1)]
-    counters = materialise(words.groupBy(*keys, "turn").agg(F.count("*").alias("used"), *sums, *odd), "counters")
-    named = ["doc_id", "line_no", "h1", "h2", "n", "size", "p0", "p1"]
-    short = counters.where(F.col("size") <= TURN).select(*named, _signs(0).alias("s0"), _signs(1).alias("s1"))
-    # longer lines: a sum for each bit
-    bit = lambda s, i: F.shiftrightunsigned(f"l{s}_{i % _LANE}", i // _LANE * _LANE).bitwiseAND(F.lit((1 << _LANE) - 1))
-    long = counters.where(F.col("size") > TURN).groupBy(*keys).agg(F.sum("used").alias("used"), *(F.bit_xor(p).alias(p) for p in ("p0", "p1")), *(F.sum(bit(s, i)).alias(f"b{s}_{i}") for s in (0, 1) for i in range(SIDE)))
-    own = lambda s: _any_bits([F.shiftleft((F.col(f"b{s}_{i}") * 2 > F.col("used")).cast("long"), i) for i in range(SIDE)])
-    table = materialise(short.union(long.select(*named, own(0).alias("s0"), own(1).alias("s1"))), "lines")
-    discard(counters)
-    return table
-
-
-def key_plan(lines: int) -> tuple[int, int]:
-    """(bits of a key, keys of a line) for a number of lines."""
-    bits = min(SIDE - 1, max(LEAST_BITS, math.ceil(math.log2(max(2, lines))) - SPARE))
-    return bits, math.ceil(math.log(1 - FOUND) / math.log(1 - (1 - FLIP) ** bits))
+    odd = [F.bit_xor(F.when(F.col("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(f"w{s}", F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"p{s}") for s in (0, 1)]
+    # few and narrow keys, as each word looks its line up; what is known of a line is the same in all its words
+    counters = words.groupBy("doc_id", "row", "turn").agg(*(F.max(c).alias(c) for c in facts), F.count("*").alias("used"), *sums, *odd)
+    # counters are kept of longer lines only
+    short, lanes = F.col("size") <= TURN, [f"l{s}_{j}" for s in (0, 1) for j in range(_LANE)]
+    table = _written(counters.select("doc_id", "row", *facts, "used", "p0", "p1", *(F.when(short, _signs(s)).alias(f"s{s}") for s in (0, 1)), *(F.when(~short, F.col(c)).alias(c) for c in lanes)), "lines")
+    # longer lines: lanes t and t + 3 of a long get 27 bits or more to grow in, lane 6 a long of its own
+    wide = lambda s, j, t: F.sum(F.shiftrightunsigned(f"l{s}_{j}", t * _LANE).bitwiseAND(F.lit(_WIDE))).alias(f"b{s}_{j}_{t}")
+    long = table.where(~short).groupBy("doc_id", "row", *facts).agg(F.sum("used").alias("used"), *(F.bit_xor(p).alias(p) for p in ("p0", "p1")), *(wide(s, j, t) for s in (0, 1) for j in range(_LANE) for t in (0, 1, 2, 6)))
+    place = lambda lane: (6, 0) if lane == 6 else (lane % 3, lane // 3 * 3 * _LANE)
+    count = lambda s, i: F.shiftrightunsigned(f"b{s}_{i % _LANE}_{place(i // _LANE)[0]}", place(i // _LANE)[1]).bitwiseAND(F.lit((1 << 3 * _LANE) - 1))
+    own = lambda s: _any_bits([F.shiftleft((count(s, i) * 2 > F.col("used")).cast("long"), i) for i in range(SIDE)])
+    named = ["doc_id", *facts, "p0", "p1"]
+    return table.where(short).select(*named, "s0", "s1").union(materialise(long.select(*named, own(0).alias("s0"), own(1).alias("s1")), "long"))
 
 
 def line_keys(classes: DataFrame, bits: int, keys: int) -> DataFrame:
@@ -145,7 +152,8 @@ def line_keys(classes: DataFrame, bits: int, keys: int) -> DataFrame:
     turned = F.call_function("shiftrightunsigned", from_, at).bitwiseOR(F.call_function("shiftleft", from_, F.lit(SIDE) - at))
     block = turned.bitwiseAND(F.lit((1 << bits) - 1))
     cell = F.floor(F.ln("n") / math.log(CELL) + F.expr("(k div 2) % 2") / 2)
-    return each.select("id", F.xxhash64("k", block, cell).alias("key"), other.bitwiseAND(F.lit((1 << SKETCH[0]) - 1)).cast("int").alias("sketch"))
+    # small numbers, as hashes wouldn't compress
+    return each.select("id", ((F.col("k") * 256 + cell) * F.lit(1 << bits) + block).alias("key"), other.alias("sketch"))
 
 
 def fuzzy_lines(docs: DataFrame, distance: int = DISTANCE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -155,19 +163,19 @@ def fuzzy_lines(docs: DataFrame, distance: int = DISTANCE, similarity: tuple[int
     known = ["n", "size", "s0", "s1", "p0", "p1"]
     classes = rows.groupBy("h1", "h2").agg(F.count("*").alias("copies"), *(F.min(c).alias(c) for c in known))
     classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    each = line_keys(classes, *key_plan(classes.count()))
-    alike = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= SKETCH[1]
+    each = line_keys(classes, BITS, KEYS)
+    alike = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= SKETCH
     # most lines share keys by chance only: those with a like one in the bucket go on, each once
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & alike
-    some = materialise(each.alias("a").join(each.alias("b").hint("shuffle_hash"), same, "left_semi").select("id", "key"), "near")
+    some = _written(each.alias("a").join(each.alias("b").hint("shuffle_hash"), same, "left_semi").select("id", "key"), "near")
     ids = materialise(some.select("id").distinct().join(classes.select("id", "h1", "h2", *known), "id"), "members")
     size = some.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = some.join(size, "key").join(ids.select("id", *(F.col(c).alias("words" if c == "size" else c) for c in known)), "id").withColumnRenamed("id", "rep")
 
     def near() -> Column:
         apart, odd = (sum(F.bit_count(F.col(f"{c}{s}").bitwiseXOR(F.col(f"x_{c}{s}"))) for s in (0, 1)) for c in "sp")
-        # an edited word changes two bits of the parities at most
-        may = (F.greatest("n", "x_n") <= IN_LETTERS) | (odd * IN_WORDS[1] <= F.greatest("words", "x_words") * 2 * (IN_WORDS[1] - IN_WORDS[0]))
+        # an edited word changes two bits of either parities at most
+        may = (F.greatest("n", "x_n") <= IN_LETTERS) | (odd * IN_WORDS[1] <= F.greatest("words", "x_words") * 4 * (IN_WORDS[1] - IN_WORDS[0]))
         return (apart <= distance) & may & (F.least("n", "x_n") * den >= F.greatest("n", "x_n") * num)
 
     norms = None
@@ -185,7 +193,7 @@ def fuzzy_lines(docs: DataFrame, distance: int = DISTANCE, similarity: tuple[int
         # a share of the longer may change; tight bounds come first, as they cost less
         share = F.when(F.col("letters"), F.lit(den - num) / F.lit(den)).otherwise(F.lit(IN_WORDS[1] - IN_WORDS[0]) / F.lit(IN_WORDS[1]))
         most = F.floor(F.greatest(F.length("a"), F.length("b")) * share + 1e-9)
-        bounds = [f"levenshtein(a, b, least(most, {2**k})) >= 0" for k in (3, 6, 9)] + ["levenshtein(a, b, most) >= 0"]
+        bounds = [f"most > {2**k} and levenshtein(a, b, {2**k}) >= 0" for k in (3, 6, 9)] + ["levenshtein(a, b, most) >= 0"]
         return joined.withColumn("most", most.cast("int")).where(" or ".join(bounds)).select("u", "v")
 
     parts = bucket_components(members, near, confirm, dense=DENSE)

@@ -132,3 +132,32 @@ def test_odd_rows(spark):
     assert got == [(0, 1, ""), (1, 0, ""), (2, 1, ""), (3, 4, "2"), (5, 2, "1"), (5, 2, "1"), (6, 3, "")]
     assert lines.dedup_lines(df).columns == df.columns
     assert lines.line_digest(df.limit(0)).count() == 0
+
+
+def test_links_do_not_depend_on_the_size(spark):
+    """What is found among some lines is found among many others too, and no more."""
+    r = random.Random(8)
+    line = lambda: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(5, 9))) for _ in range(20))
+    pairs = []
+    for k in range(80):
+        words = line().split()
+        other = [w + "s" if i in (3, 11)[: 1 + k % 2] else w for i, w in enumerate(words)]
+        pairs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    found = []
+    for rest in (0, 4000):
+        df = spark.createDataFrame(pairs + [(1000 + i, line()) for i in range(rest)], "doc_id long, text string")
+        found.append(sorted((x["doc_id"], x["first_doc"]) for x in lines.fuzzy_lines(df).collect()))
+    assert found[0] == found[1] and found[0]
+
+
+@pytest.mark.parametrize("n", [12, 16])
+def test_parities_let_one_changed_word_pass(spark, n):
+    """Lines beyond IN_LETTERS that differ in one word of few and long ones; the word changes two bits of either parities."""
+    r = random.Random(n)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(20))
+    rows = []
+    for k in range(40):
+        words = [word() for _ in range(n)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-1], word()]))]
+    got = lines.fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert got >= 0.9 * len(rows)
