@@ -83,3 +83,10 @@ def test_empty_tables(spark, sf, tmp_path):
     bare = write(spark, tmp_path / "b", docs, labels.limit(0), bench.limit(0))
     judged = corpus_pipeline.judged(spark, docs, bare)
     assert judged.count() == docs.count() == corpus_pipeline.decontaminated(spark, docs, bare).count()
+
+
+def test_cells_of_all_rows(spark, sf):
+    """The last stage's cells hold equal numbers of rows on a table larger than any sample."""
+    docs = spark.range(32_000).selectExpr("id as doc_id", "'' as text", "'en' as lang", "'a' as source", "id as n_chars")
+    sizes = corpus_pipeline.sharded(spark, docs, sf).groupBy("hilbert").count().collect()
+    assert [s["count"] for s in sizes] == [2000] * 16
