@@ -95,7 +95,7 @@ def bucket_components(members: DataFrame, near: Callable[[], Column], confirm: C
             heads, last = rows.where("out").select("key", F.pmod(F.xxhash64("rep"), "cells").cast("int").alias("cell"), *_others(members)), True
             dealt = rows.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("main", "cells")
         else:
-            order = F.min_by(F.struct(*_others(members)), F.xxhash64("rep", "key", F.lit(turn)))
+            order = F.min_by(F.struct(*_others(members)), F.xxhash64("rep", F.lit(turn)))
             heads, last = members.groupBy("key").agg(order.alias("h")).select("key", "h.*"), False
         # a pair that shares several buckets comes from one of them
         here = F.col("keys").isNull() | (F.array_min(F.array_intersect("keys", "x_keys")) == F.col("key"))

@@ -25,8 +25,8 @@ differ in, so that lines that share a passage only aren't compared; buckets are
 all pairs. All is done with DataFrame functions; texts are read for the SimHashes, and
 again for the lines that are compared.
 
-The bits of a line's words are summed by a grouped aggregate, seven counters of nine
-bits to a long.
+The bits of a line's words are added up STEP words at a time, all bits of a long at
+once, and summed by a grouped aggregate, PER counters of 16 bits to a long.
 
 Defined cases: lines without letters stay as they are; NULL texts have no lines, empty
 ones have one; ids are keys, and rows that repeat one with its text keep the same
@@ -58,11 +58,12 @@ KEYS = 26
 CELL = 1.6
 
 SIDE = 63
-_LANE = 9
-_LANES = sum(1 << (_LANE * k) for k in range(7))
-_WIDE = sum(((1 << _LANE) - 1) << (3 * _LANE * k) for k in range(2))
+_LANE = 16
+#: Counters of a long; bit j + k * _LANE is counted in the lane k of the sum j.
+PER = 4
+_LANES = sum(1 << (_LANE * k) for k in range(PER))
 #: As in graph.bucket_components: pairs of lines cost more than bounds, so stars go on for longer.
-DENSE = 2
+DENSE = 60
 #: Edits are counted in letters where the longer line has so many characters at most, else in words.
 IN_LETTERS = 128
 CODES = 20_000
@@ -70,7 +71,9 @@ CODES = 20_000
 LONG = 4
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words whose bits are summed in one row: what a counter can hold with its carry.
-TURN = 256
+TURN = 16_000
+#: Words whose bits are added up before they reach the counters: what three binary digits can tell.
+STEP = 7
 
 
 def words_of(line: Column) -> Column:
@@ -98,9 +101,8 @@ def _any_bits(parts: list[Column]) -> Column:
 
 def _signs(side: int) -> Column:
     """The bits of one long from the counters of a line of TURN words at most: a counter above half carries."""
-    half = F.lit((1 << (_LANE - 1)) - 1) - F.expr("used div 2")
-    over = [F.shiftrightunsigned(F.col(f"l{side}_{j}") + half * F.lit(_LANES), _LANE - 1).bitwiseAND(F.lit(_LANES)) for j in range(_LANE)]
-    return _any_bits([F.shiftleft(c, j) for j, c in enumerate(over)])
+    over = [F.shiftrightunsigned(F.col(f"l{side}_{j}") + F.col("halves"), _LANE - 2).bitwiseAND(F.lit(_LANES)) for j in range(_LANE)]
+    return _any_bits([F.shiftleft(c, j) for j, c in enumerate(over)]).bitwiseAND(F.lit((1 << SIDE) - 1))
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -114,32 +116,64 @@ def _written(df: DataFrame, name: str) -> DataFrame:
         conf.set(_CLEANUP, before)
 
 
+def _planes(words: list[Column]) -> list[Column]:
+    """The three binary digits of how many of STEP longs have a bit, for all bits at once."""
+    adder = lambda a, b, c: (a.bitwiseXOR(b).bitwiseXOR(c), a.bitwiseAND(b).bitwiseOR(c.bitwiseAND(a.bitwiseXOR(b))))
+    one, two = adder(*words[:3])
+    one, two_ = adder(one, *words[3:5])
+    one, two__ = adder(one, *words[5:])
+    two, four = adder(two, two_, two__)
+    return [one, two, four]
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, h1, h2, n, size, s0, s1, p0, p1): a row for each line with letters of the documents with ids; size is
     its number of words, p0 and p1 tell which of 128 groups of its long words are odd in number."""
     rows = _exploded(docs.where("doc_id is not null")).select("doc_id", "line_no", words_of(F.col("line")).alias("words"))
     rows = rows.select("doc_id", "line_no", "words", F.array_join("words", " ").alias("norm"), F.monotonically_increasing_id().alias("row"))
     facts = ["line_no", "h1", "h2", "n", "size"]
-    # all that is said of a line comes before its words are exploded, else it would be worked out for each word
-    rows = rows.select("doc_id", "row", "line_no", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.length("norm").alias("n"), F.size("words").alias("size"), F.exists("words", lambda w: F.length(w) >= LONG).alias("long"), "words")
-    words = rows.select("doc_id", "row", *facts, "long", F.posexplode("words").alias("at", "word"))
-    words = words.where(~F.col("long") | (F.length("word") >= LONG)).select("doc_id", "row", *facts, "long", F.expr(f"at div {TURN}").alias("turn"), F.xxhash64("word").alias("w0"), F.xxhash64(F.lit(1), "word").alias("w1"))
-    sums = [F.sum(F.shiftrightunsigned(f"w{s}", j).bitwiseAND(F.lit(_LANES))).alias(f"l{s}_{j}") for s in (0, 1) for j in range(_LANE)]
+    # all that is said of a line comes before its words are dealt out, else it would be worked out for each of them
+    rows = rows.select("doc_id", "row", "line_no", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.length("norm").alias("n"), F.size("words").alias("size"), F.rlike("norm", F.lit(f"[^ ]{{{LONG}}}")).alias("long"), "words")
+    # STEP words to a row of the sums; what stands for a word that doesn't count has no bits
+    steps = rows.where("size > 0").select("doc_id", "row", *facts, "long", "words", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(STEP))).alias("at"))
+    steps = steps.select("doc_id", "row", *facts, "long", F.expr(f"at div {TURN}").alias("turn"), *(F.get("words", F.col("at") + i).alias(f"word{i}") for i in range(STEP)))
+    counts = [F.col(f"word{i}").isNotNull() & (~F.col("long") | (F.length(f"word{i}") >= LONG)) for i in range(STEP)]
+    steps = steps.select("doc_id", "row", *facts, "long", "turn", *(f"word{i}" for i in range(STEP)), *(c.alias(f"c{i}") for i, c in enumerate(counts)))
+    none = F.lit(0).cast("long")
+    hashed = [F.when(F.col(f"c{i}"), h).otherwise(none).alias(f"w{s}_{i}") for i in range(STEP) for s, h in enumerate((F.xxhash64(f"word{i}"), F.xxhash64(F.lit(1), f"word{i}")))]
+    steps = steps.select("doc_id", "row", *facts, "long", "turn", *(f"c{i}" for i in range(STEP)), *hashed)
     # a bit for each of 128 groups of long words: is their number odd
-    odd = [F.bit_xor(F.when(F.col("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(f"w{s}", F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"p{s}") for s in (0, 1)]
-    # few and narrow keys, as each word looks its line up; what is known of a line is the same in all its words
-    counters = words.groupBy("doc_id", "row", "turn").agg(*(F.max(c).alias(c) for c in facts), F.count("*").alias("used"), *sums, *odd)
+    own = lambda s, i: F.col("long") & F.col(f"c{i}") & (F.shiftrightunsigned(f"w0_{i}", 6).bitwiseAND(F.lit(1)) == s)
+    group = lambda s, i: F.when(own(s, i), F.call_function("shiftleft", F.lit(1).cast("long"), F.col(f"w0_{i}").bitwiseAND(F.lit(63)).cast("int"))).otherwise(none)
+    odd = [reduce(lambda a, b: a.bitwiseXOR(b), (group(s, i) for i in range(STEP))).alias(f"o{s}") for s in (0, 1)]
+    used = sum((F.col(f"c{i}").cast("int") for i in range(STEP)), F.lit(0))
+    planes = [c.alias(f"b{s}_{d}") for s in (0, 1) for d, c in enumerate(_planes([F.col(f"w{s}_{i}") for i in range(STEP)]))]
+    steps = steps.select("doc_id", "row", *facts, "turn", used.alias("used"), *odd, *planes)
+    lane = lambda s, j: _any_bits([F.shiftleft(F.shiftrightunsigned(f"b{s}_{d}", j).bitwiseAND(F.lit(_LANES)), d) for d in range(3)])
+    sums = [F.sum(lane(s, j)).alias(f"l{s}_{j}") for s in (0, 1) for j in range(_LANE)]
+    # few and narrow keys; what is known of a line is the same in all its rows
+    counters = steps.groupBy("doc_id", "row", "turn").agg(*(F.max(c).alias(c) for c in facts), F.sum("used").alias("used"), *sums, *(F.bit_xor(f"o{s}").alias(f"p{s}") for s in (0, 1)))
     # counters are kept of longer lines only
-    short, lanes = F.col("size") <= TURN, [f"l{s}_{j}" for s in (0, 1) for j in range(_LANE)]
-    table = _written(counters.select("doc_id", "row", *facts, "used", "p0", "p1", *(F.when(short, _signs(s)).alias(f"s{s}") for s in (0, 1)), *(F.when(~short, F.col(c)).alias(c) for c in lanes)), "lines")
-    # longer lines: lanes t and t + 3 of a long get 27 bits or more to grow in, lane 6 a long of its own
-    wide = lambda s, j, t: F.sum(F.shiftrightunsigned(f"l{s}_{j}", t * _LANE).bitwiseAND(F.lit(_WIDE))).alias(f"b{s}_{j}_{t}")
-    long = table.where(~short).groupBy("doc_id", "row", *facts).agg(F.sum("used").alias("used"), *(F.bit_xor(p).alias(p) for p in ("p0", "p1")), *(wide(s, j, t) for s in (0, 1) for j in range(_LANE) for t in (0, 1, 2, 6)))
-    place = lambda lane: (6, 0) if lane == 6 else (lane % 3, lane // 3 * 3 * _LANE)
-    count = lambda s, i: F.shiftrightunsigned(f"b{s}_{i % _LANE}_{place(i // _LANE)[0]}", place(i // _LANE)[1]).bitwiseAND(F.lit((1 << 3 * _LANE) - 1))
-    own = lambda s: _any_bits([F.shiftleft((count(s, i) * 2 > F.col("used")).cast("long"), i) for i in range(SIDE)])
+    short = F.col("size") <= TURN
+    lanes = F.array(*(F.col(f"l{s}_{j}") for s in (0, 1) for j in range(_LANE)))
+    # the filter, which all rows pass, keeps what follows out of the aggregate's own code: the JVM compiles no method beyond 8,000 bytes
+    counters = counters.where("used > 0").withColumn("halves", (F.lit((1 << (_LANE - 2)) - 1) - F.expr("used div 2")) * F.lit(_LANES))
+    table = _written(counters.select("doc_id", "row", *facts, "used", "p0", "p1", *(F.when(short, _signs(s)).alias(f"s{s}") for s in (0, 1)), F.when(~short, lanes).alias("lanes")), "lines")
     named = ["doc_id", *facts, "p0", "p1"]
-    return table.where(short).select(*named, "s0", "s1").union(materialise(long.select(*named, own(0).alias("s0"), own(1).alias("s1")), "long"))
+    out = table.where(short).select(*named, "s0", "s1")
+    if not table.where(~short).head(1):
+        return out
+    # longer lines: their turns' counters, a row for each bit, and the bits put together
+    bits = F.flatten(F.transform("lanes", lambda x: F.transform(F.sequence(F.lit(0), F.lit(PER - 1)), lambda t: F.call_function("shiftrightunsigned", x, (t * _LANE).cast("int")).bitwiseAND(F.lit((1 << _LANE) - 1)))))
+    long = table.where(~short)
+    known = long.groupBy("doc_id", "row", *facts).agg(F.sum("used").alias("used"), *(F.bit_xor(p).alias(p) for p in ("p0", "p1")))
+    sums = long.select("row", F.posexplode(bits).alias("at", "count")).groupBy("row", "at").agg(F.sum("count").alias("count"))
+    own = sums.join(known.select("row", "used"), "row").where(F.col("count") * 2 > F.col("used"))
+    side, bit = F.expr(f"at div {PER * _LANE}"), F.expr(f"(at div {PER}) % {_LANE} + at % {PER} * {_LANE}").cast("int")
+    set_ = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    own = own.where(bit < SIDE).groupBy("row").agg(*(F.bit_or(F.when(side == s, set_).otherwise(none)).alias(f"s{s}") for s in (0, 1)))
+    own = known.join(own, "row", "left").select(*named, *(F.coalesce(f"s{s}", none).alias(f"s{s}") for s in (0, 1)))
+    return out.union(materialise(own, "long"))
 
 
 def line_keys(classes: DataFrame, bits: int, keys: int) -> DataFrame:
@@ -174,8 +208,8 @@ def fuzzy_lines(docs: DataFrame, distance: int = DISTANCE, similarity: tuple[int
 
     def near() -> Column:
         apart, odd = (sum(F.bit_count(F.col(f"{c}{s}").bitwiseXOR(F.col(f"x_{c}{s}"))) for s in (0, 1)) for c in "sp")
-        # an edited word changes two bits of either parities at most
-        may = (F.greatest("n", "x_n") <= IN_LETTERS) | (odd * IN_WORDS[1] <= F.greatest("words", "x_words") * 4 * (IN_WORDS[1] - IN_WORDS[0]))
+        # an edited word changes two bits of the 128 parities at most
+        may = (F.greatest("n", "x_n") <= IN_LETTERS) | (odd * IN_WORDS[1] <= F.greatest("words", "x_words") * 2 * (IN_WORDS[1] - IN_WORDS[0]))
         return (apart <= distance) & may & (F.least("n", "x_n") * den >= F.greatest("n", "x_n") * num)
 
     norms = None
@@ -188,12 +222,12 @@ def fuzzy_lines(docs: DataFrame, distance: int = DISTANCE, similarity: tuple[int
         joined = pairs.join(a, F.col("u") == F.col("a_id")).join(b, F.col("v") == F.col("b_id")).drop("a_id", "b_id")
         letters = F.greatest("a_n", "b_n") <= IN_LETTERS
         joined = joined.select("u", "v", letters.alias("letters"), *(F.when(letters, F.col(f"{s}_norm")).otherwise(F.col(f"{s}_codes")).alias(s) for s in "ab"))
-        # the pairs are few rows but much work: dealt out evenly
+        # the pairs are few rows but much work: dealt out evenly, which only a condition with a random number waits for
         joined = joined.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         # a share of the longer may change; tight bounds come first, as they cost less
         share = F.when(F.col("letters"), F.lit(den - num) / F.lit(den)).otherwise(F.lit(IN_WORDS[1] - IN_WORDS[0]) / F.lit(IN_WORDS[1]))
         most = F.floor(F.greatest(F.length("a"), F.length("b")) * share + 1e-9)
-        bounds = [f"most > {2**k} and levenshtein(a, b, {2**k}) >= 0" for k in (3, 6, 9)] + ["levenshtein(a, b, most) >= 0"]
+        bounds = [f"most > {2**k} and levenshtein(a, b, {2**k}) >= 0" for k in (3, 6, 9)] + ["levenshtein(a, b, most) >= 0", "rand(0) < 0"]
         return joined.withColumn("most", most.cast("int")).where(" or ".join(bounds)).select("u", "v")
 
     parts = bucket_components(members, near, confirm, dense=DENSE)

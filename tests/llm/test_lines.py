@@ -161,3 +161,12 @@ def test_parities_let_one_changed_word_pass(spark, n):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-1], word()]))]
     got = lines.fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string")).count()
     assert got >= 0.9 * len(rows)
+
+
+def test_planes(spark):
+    """Three binary digits of how many of STEP longs have a bit."""
+    r = random.Random(3)
+    rows = [[r.getrandbits(63) for _ in range(lines.STEP)] for _ in range(50)]
+    df = spark.createDataFrame(rows, [f"w{i}" for i in range(lines.STEP)])
+    for x, own in zip(df.select(*(c.alias(f"d{d}") for d, c in enumerate(lines._planes([F.col(c) for c in df.columns])))).collect(), rows, strict=True):
+        assert all(sum((x[d] >> b & 1) << d for d in range(3)) == sum(w >> b & 1 for w in own) for b in range(63))
