@@ -13,11 +13,10 @@ which documents are selected.
 
 Grades from labels: 0 toxic, 1 of low quality, 2 neither.
 
-The model is fitted on at most MOST_LABELLED labelled documents, those with the
-least hashes of their ids. Their features are kept in the shared folder; each
-step of L-BFGS is a Spark job in which every task sums its rows' gradient, so the
-driver holds weights and a gradient per task, both of fixed size. One in five
-of the sample isn't fitted on; the cut is the CLEAN_LOSS quantile of the top
+The model is fitted on all labelled documents. Their features are kept in the shared
+folder; each step of L-BFGS is a Spark job of PARTS tasks, each of which sums its rows'
+gradient batch by batch, so the driver holds weights and a gradient per task, both of
+fixed size. One in five of the labelled isn't fitted on; the cut is the CLEAN_LOSS quantile of the top
 grade's probability among those of top grade there.
 
 Defined cases: NULL text is empty; a text without words has score 0; labels of
@@ -42,15 +41,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.llm.batches import free_name, text_batches
+from tabloom.llm.minhash import small
 from tabloom.sources.files import materialise
 
 BUCKETS = 1 << 17
-MOST_LABELLED = 20_000
 CLEAN_LOSS = 0.005
 LEAST_DOCS = 3
 PENALTY = 1e-4
 STEPS = 30
-PARTS = 8
+PARTS = 24
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MEMO = 200_000
 
@@ -169,10 +168,10 @@ def grade_labels(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(F.min(grade).cast("int").alias("grade"))
 
 
-def _featured(docs: DataFrame, graded: DataFrame, most: int) -> DataFrame:
-    """(grade, held, where, values) of the sample."""
-    chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("_id"), "grade")
-    rows = text_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+def _featured(docs: DataFrame, graded: DataFrame) -> DataFrame:
+    """(grade, held, where, values) of the labelled documents."""
+    chosen = graded.select(F.col("doc_id").alias("_id"), "grade")
+    rows = text_batches(docs).select("doc_id", "text").join(small(chosen), F.col("doc_id") == F.col("_id"))
     rows = rows.select((F.xxhash64("doc_id", F.lit("held")) % 5 == 0).alias("held"), "grade", "text")
 
     def run(batches):
@@ -198,11 +197,11 @@ def _compressed(batches) -> tuple:
     return np.concatenate(where), np.concatenate(values), np.concatenate(([0], np.cumsum(n)[:-1])).astype(int), np.concatenate(grades)
 
 
-def fit(docs: DataFrame, graded: DataFrame, n_grades: int = 3, most: int = MOST_LABELLED, clean_loss: float = CLEAN_LOSS) -> Model | None:
-    """The model of a bounded sample of graded documents; None if fewer than two grades are there."""
+def fit(docs: DataFrame, graded: DataFrame, n_grades: int = 3, clean_loss: float = CLEAN_LOSS) -> Model | None:
+    """The model of all graded documents; None if fewer than two grades are there."""
     sc = docs.sparkSession.sparkContext
-    # the scan of the documents goes in all tasks; only what it wrote, the sample, is read in PARTS
-    rows = materialise(_featured(docs, graded, most), "features").coalesce(PARTS)
+    # the scan of the documents goes in all tasks; only what it wrote, of the labelled, is read in PARTS
+    rows = materialise(_featured(docs, graded), "features").coalesce(PARTS)
     train = rows.where("not held")
     counts = {r["grade"]: r["count"] for r in train.groupBy("grade").count().collect()}
     total = sum(counts.values())
@@ -216,9 +215,13 @@ def fit(docs: DataFrame, graded: DataFrame, n_grades: int = 3, most: int = MOST_
         sent = sc.broadcast(params)
 
         def run(batches):
-            got = _compressed(batches)
-            if len(got[-1]):
-                loss, gradient = loss_and_gradient(sent.value, n_grades, *got)
+            loss, gradient = 0.0, None
+            for b in batches:
+                got = _compressed([b])
+                if len(got[-1]):
+                    more, slope = loss_and_gradient(sent.value, n_grades, *got)
+                    loss, gradient = loss + more, slope if gradient is None else gradient + slope
+            if gradient is not None:
                 yield pa.RecordBatch.from_pydict({"loss": [loss], "gradient": [gradient.tobytes()]})
 
         parts = train.mapInArrow(run, "loss double, gradient binary").collect()

@@ -54,3 +54,9 @@ def test_every_document_is_judged(spark):
     assert set(got) == set(range(80)) and all(r["accepted"] == (i < 40) for i, r in got.items())
     assert max(got[i]["p_top"] for i in range(40, 80)) < min(got[i]["p_top"] for i in range(40))
     assert {r["doc_id"] for r in quality.select_documents(docs, labels).collect()} == {i for i, r in got.items() if r["accepted"]}
+
+
+def test_all_labelled_are_fitted_on(spark):
+    n = 20_500
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('word', id % 7) as text")
+    assert quality._featured(docs, spark.range(n).selectExpr("id as doc_id", "cast(id % 3 as int) as grade")).count() == n
