@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.graph import bucket_components
 from tabloom.llm.minhash import small
-from tabloom.sources.files import materialise
+from tabloom.sources.files import materialise, shuffles_deleted
 
 SIMILARITY = (9, 10)
 #: In words, as one changed letter changes a word.
@@ -69,7 +69,6 @@ IN_LETTERS = 128
 CODES = 20_000
 #: Letters of the words that count; shorter ones are too common to tell lines apart, and count in lines that have no others.
 LONG = 4
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words whose bits are summed in one row: what a counter can hold with its carry.
 TURN = 16_000
 #: Words whose bits are added up before they reach the counters: what three binary digits can tell.
@@ -106,14 +105,9 @@ def _signs(side: int) -> Column:
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
-    """Materialised, and the files of its shuffles deleted at once instead of when the driver's memory is cleared."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, "false")
-    conf.set(_CLEANUP, "true")
-    try:
+    """Materialised, and the files of its shuffles deleted at once."""
+    with shuffles_deleted(df.sparkSession):
         return materialise(df, name)
-    finally:
-        conf.set(_CLEANUP, before)
 
 
 def _planes(words: list[Column]) -> list[Column]:

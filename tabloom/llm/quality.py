@@ -15,8 +15,8 @@ Grades from labels: 0 toxic, 1 of low quality, 2 neither.
 
 The model is fitted on all labelled documents. Their features are kept in the shared
 folder; each step of L-BFGS is a Spark job of PARTS tasks, each of which sums its rows'
-gradient batch by batch, so the driver holds weights and a gradient per task, both of
-fixed size. One in five of the labelled isn't fitted on; the cut is the CLEAN_LOSS quantile of the top
+gradient batch by batch, and of one more that adds these sums up, so the driver gets one
+gradient a step, of the weights that are fitted only. One in five of the labelled isn't fitted on; the cut is the CLEAN_LOSS quantile of the top
 grade's probability among those of top grade there.
 
 Defined cases: NULL text is empty; a text without words has score 0; labels of
@@ -31,18 +31,19 @@ import re
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
-from operator import eq
+from operator import eq, itemgetter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.llm.batches import free_name, text_batches
 from tabloom.llm.minhash import small
-from tabloom.sources.files import materialise
+from tabloom.sources.files import materialise, shuffles_deleted
 
 BUCKETS = 1 << 17
 CLEAN_LOSS = 0.005
@@ -197,6 +198,19 @@ def _compressed(batches) -> tuple:
     return np.concatenate(where), np.concatenate(values), np.concatenate(([0], np.cumsum(n)[:-1])).astype(int), np.concatenate(grades)
 
 
+def _added(parts: DataFrame) -> tuple[float, np.ndarray]:
+    """The sums of loss and gradient of (part, loss, gradient), which a task adds up in the order of the parts, PARTS rows at most."""
+
+    def run(batches):
+        rows = sorted((x for b in batches for x in b.to_pylist()), key=itemgetter("part"))
+        gradient = np.sum([np.frombuffer(x["gradient"]) for x in rows], axis=0)
+        yield pa.RecordBatch.from_pydict({"loss": [sum(x["loss"] for x in rows)], "gradient": [gradient.tobytes()]})
+
+    with shuffles_deleted(parts.sparkSession):
+        got = parts.repartition(1).mapInArrow(run, "loss double, gradient binary").collect()[0]
+    return got["loss"], np.frombuffer(got["gradient"])
+
+
 def fit(docs: DataFrame, graded: DataFrame, n_grades: int = 3, clean_loss: float = CLEAN_LOSS) -> Model | None:
     """The model of all graded documents; None if fewer than two grades are there."""
     sc = docs.sparkSession.sparkContext
@@ -208,27 +222,30 @@ def fit(docs: DataFrame, graded: DataFrame, n_grades: int = 3, clean_loss: float
     if len(counts) < 2:
         return None
     seen = train.select(F.explode(F.array_distinct("where")).alias("b")).groupBy("b").count().where(F.col("count") >= LEAST_DOCS)
-    known = np.zeros(BUCKETS, bool)
+    known = np.zeros(BUCKETS + n_grades - 1, bool)
     known[[r["b"] for r in seen.select("b").collect()]] = True
+    known[BUCKETS:] = True
+    fitted = np.flatnonzero(known)
 
     def objective(params: np.ndarray) -> tuple[float, np.ndarray]:
-        sent = sc.broadcast(params)
+        sent = sc.broadcast((params, fitted))
 
         def run(batches):
             loss, gradient = 0.0, None
             for b in batches:
                 got = _compressed([b])
                 if len(got[-1]):
-                    more, slope = loss_and_gradient(sent.value, n_grades, *got)
+                    more, slope = loss_and_gradient(sent.value[0], n_grades, *got)
                     loss, gradient = loss + more, slope if gradient is None else gradient + slope
             if gradient is not None:
-                yield pa.RecordBatch.from_pydict({"loss": [loss], "gradient": [gradient.tobytes()]})
-
-        parts = train.mapInArrow(run, "loss double, gradient binary").collect()
-        sent.unpersist()
-        gradient = np.sum([np.frombuffer(p["gradient"]) for p in parts], axis=0) / total
-        gradient[:BUCKETS] = np.where(known, gradient[:BUCKETS] + PENALTY * params[:BUCKETS], 0.0)
-        return sum(p["loss"] for p in parts) / total + PENALTY / 2 * float(params[:BUCKETS] @ params[:BUCKETS]), gradient
+                yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "loss": [loss], "gradient": [gradient[sent.value[1]].tobytes()]})
+
+        loss, slope = _added(train.mapInArrow(run, "part long, loss double, gradient binary"))
+        sent.destroy()
+        gradient = np.zeros_like(params)
+        gradient[fitted] = slope / total
+        gradient[:BUCKETS] += np.where(known[:BUCKETS], PENALTY * params[:BUCKETS], 0.0)
+        return loss / total + PENALTY / 2 * float(params[:BUCKETS] @ params[:BUCKETS]), gradient
 
     start = np.zeros(BUCKETS + n_grades - 1)
     start[BUCKETS] = -2.0

@@ -60,3 +60,16 @@ def test_all_labelled_are_fitted_on(spark):
     n = 20_500
     docs = spark.range(n).selectExpr("id as doc_id", "concat('word', id % 7) as text")
     assert quality._featured(docs, spark.range(n).selectExpr("id as doc_id", "cast(id % 3 as int) as grade")).count() == n
+
+
+def test_the_driver_gets_one_gradient_a_step(spark, monkeypatch):
+    """Of the weights that are fitted, however many tasks there are; the same model as by any other number of tasks."""
+    got, kind = [], type(spark.range(1))
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: got.append(collect(self)) or got[-1])
+    docs = spark.createDataFrame([(i, f"good words here w{i % 3}" if i % 2 else f"bad awful thing w{i % 5}") for i in range(400)], "doc_id long, text string")
+    labels = spark.range(400).selectExpr("id as doc_id", "cast(id % 2 * 2 as int) as grade")
+    models = [quality.fit(docs.repartition(n, "doc_id"), labels) for n in (8, 1)]
+    steps = [rows for rows in got if rows and "gradient" in rows[0]]
+    assert steps and all(len(rows) == 1 and len(rows[0]["gradient"]) < 8 * 50 for rows in steps)
+    assert np.allclose(models[0].weights, models[1].weights, atol=1e-6) and np.count_nonzero(models[0].weights) > 5
