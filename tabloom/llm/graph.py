@@ -67,8 +67,9 @@ def bucket_components(members: DataFrame, near: Callable[[], Column], confirm: C
     linked; confirm: the true links of pairs (u, v); enrich: fills in columns of
     members that ``near`` can decide better with, once most are gone.
 
-    Star rounds compare every member with one of its bucket, dealt by a hash, so
-    their pairs are as many as the members. What is linked becomes one part. Only
+    Star rounds find for every member the heads of its buckets, dealt by a hash that
+    is the same in all, and confirm it with one of them, and in buckets of two with the
+    other one, so their pairs are as many as the members. What is linked becomes one part. Only
     members of other parts than their bucket's largest can have links that are
     still missing; in the end these are compared with all members of other parts,
     unless that would be many comparisons and rounds of stars still halve them by
@@ -100,16 +101,21 @@ def bucket_components(members: DataFrame, near: Callable[[], Column], confirm: C
         # a pair that shares several buckets comes from one of them
         here = F.col("keys").isNull() | (F.array_min(F.array_intersect("keys", "x_keys")) == F.col("key"))
         if last:
+            most = whole.agg(F.sum("all")).first()[0]
             once = ~F.col("out") | (F.col("rep") < F.col("x_rep"))  # two outsiders meet twice
             pairs = dealt.join(heads, ["key", "cell"]).where(once & (F.col("part") != F.col("x_part")) & near() & here)
+            pairs = pairs.select(F.greatest("rep", "x_rep").alias("u"), F.least("rep", "x_rep").alias("v"), F.greatest("part", "x_part").alias("p"), F.least("part", "x_part").alias("q"))
+            return _by_parts(materialise(pairs.distinct(), "pairs"), most, links, confirm)
         else:
             pairs = members.join(heads, "key").where((F.col("part") != F.col("x_part")) & near())
+            # the other heads that a member meets are mostly linked with the least one; what is of two is done after this round
+            order = F.xxhash64("x_rep", F.lit(turn))
+            met = F.collect_set(F.when(F.col("size") == 2, F.col("x_rep"))), F.min_by("x_rep", F.when(F.col("size") > 2, order))
+            pairs = pairs.groupBy("rep").agg(F.array_compact(F.array_append(met[0], met[1])).alias("x_reps")).select("rep", F.explode("x_reps").alias("x_rep"))
         pairs = pairs.select(F.greatest("rep", "x_rep").alias("u"), F.least("rep", "x_rep").alias("v")).distinct()
         new = materialise(confirm(pairs), "confirmed")
         links = new if links is None else links.union(new)
         parts = components(links)
-        if last:
-            return parts
         before = cost if turn else float("inf")
         own = members.drop("part").where("size > 2")  # of two, both are done
         own = own.join(parts.select(F.col("node").alias("rep"), F.col("component").alias("_c")), "rep", "left")
@@ -122,6 +128,33 @@ def bucket_components(members: DataFrame, near: Callable[[], Column], confirm: C
         turn += 1
 
 
+#: Pairs that are confirmed first, second and third: so many for each part, or for any two. The rest comes last.
+PICKS = ((1, "p"), (4, "p"), (1, "p", "q"))
+
+
+def _by_parts(pairs: DataFrame, most: int, links: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``components`` of the links and of the true ones of pairs (u, v) of the parts p and q.
+
+    If the pairs are more than ``most``, a few of each part come first: once two are one part, their others needn't be confirmed.
+    """
+    for picks in (*PICKS, None) if pairs.count() > most else (None,):
+        now = pairs.select("u", "v")
+        if picks:
+            n, *keys = picks
+            one = F.min_by(F.struct("u", "v"), F.struct(F.xxhash64("q"), F.xxhash64("v", "u")))
+            now = materialise(pairs.groupBy(*keys, F.pmod(F.xxhash64("u", "v"), F.lit(n)).alias("pick")).agg(one.alias("x")).select("x.u", "x.v"), "picked")
+        links = links.union(materialise(confirm(now), "confirmed"))
+        parts = components(links)
+        if picks:
+            to = lambda node: parts.select(F.col("node").alias(node), F.col("component").alias(f"{node}_part"))
+            left = pairs.join(now, ["u", "v"], "left_anti").join(to("u"), "u", "left").join(to("v"), "v", "left")
+            p, q = (F.coalesce(f"{node}_part", node) for node in "uv")
+            pairs = materialise(left.where(p != q).select("u", "v", F.greatest(p, q).alias("p"), F.least(p, q).alias("q")), "pairs")
+            if not pairs.head(1):
+                break
+    return parts
+
+
 def _open(members: DataFrame) -> DataFrame:
     """The members of buckets with more than one part."""
     keys = members.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("key")

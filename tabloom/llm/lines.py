@@ -216,12 +216,12 @@ def fuzzy_lines(docs: DataFrame, distance: int = DISTANCE, similarity: tuple[int
         joined = pairs.join(a, F.col("u") == F.col("a_id")).join(b, F.col("v") == F.col("b_id")).drop("a_id", "b_id")
         letters = F.greatest("a_n", "b_n") <= IN_LETTERS
         joined = joined.select("u", "v", letters.alias("letters"), *(F.when(letters, F.col(f"{s}_norm")).otherwise(F.col(f"{s}_codes")).alias(s) for s in "ab"))
-        # the pairs are few rows but much work: dealt out evenly, which only a condition with a random number waits for
+        # the pairs are few rows but much work: dealt out evenly, which only a condition that isn't deterministic waits for (one on rand() alone would be optimised away)
         joined = joined.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         # a share of the longer may change; tight bounds come first, as they cost less
         share = F.when(F.col("letters"), F.lit(den - num) / F.lit(den)).otherwise(F.lit(IN_WORDS[1] - IN_WORDS[0]) / F.lit(IN_WORDS[1]))
         most = F.floor(F.greatest(F.length("a"), F.length("b")) * share + 1e-9)
-        bounds = [f"most > {2**k} and levenshtein(a, b, {2**k}) >= 0" for k in (3, 6, 9)] + ["levenshtein(a, b, most) >= 0", "rand(0) < 0"]
+        bounds = [f"most > {2**k} and levenshtein(a, b, {2**k}) >= 0" for k in (3, 6, 9)] + ["levenshtein(a, b, most) >= 0", "monotonically_increasing_id() < 0"]
         return joined.withColumn("most", most.cast("int")).where(" or ".join(bounds)).select("u", "v")
 
     parts = bucket_components(members, near, confirm, dense=DENSE)
