@@ -54,11 +54,12 @@ LEAST_DOCS = 3
 PENALTY = 1e-4
 STEPS = 30
 PARTS = 24
+_OVER = 30
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, counts) of a text; a bucket can come more than once."""
+    """(buckets, counts) of a text, by bucket; a bucket can come more than once."""
     tokens = _TOKEN.findall(text) if text else []
     counts = Counter(tokens)
     odd = {
@@ -69,8 +70,9 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     for word in list(compress(counts, map(ne, counts, map(str.lower, counts)))):
         counts[word.lower()] += counts.pop(word)
     counts.update({k: v for k, v in odd.items() if v})
-    where = np.fromiter(map(xxhash.xxh32_intdigest, counts), np.uint32, len(counts)) % BUCKETS
-    return where.astype(np.int32), np.fromiter(counts.values(), np.int32, len(counts))
+    where = (np.fromiter(map(xxhash.xxh32_intdigest, counts), np.uint32, len(counts)) % BUCKETS).astype(np.int32)
+    order = np.argsort(where, kind="stable")
+    return where[order], np.fromiter(counts.values(), np.int32, len(counts))[order]
 
 
 def _values(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -173,13 +175,16 @@ def grade_labels(labels: DataFrame) -> DataFrame:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """The documents with ``where`` and ``counts``, their features as bytes, in place of the text."""
+    """The documents with ``where`` and ``counts``, their features as bytes, in place of the text.
+
+    where has two bytes a bucket; the bit above them stands over the count, where it is a run of zeros and one of ones, as buckets are in order.
+    """
     rest = [c for c in docs.columns if c != "text"]
 
     def run(batches):
         for batch in batches:
             found = [features(t.as_py()) for t in batch.column("text")]
-            own = [pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1)]
+            own = [pa.array(x, pa.binary()) for x in ([w.astype(np.uint16).tobytes() for w, _ in found], [(n | w >> 16 << _OVER).tobytes() for w, n in found])]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *own], [*rest, "where", "counts"])
 
     kept = text_batches(docs).select("text", *rest)
@@ -206,8 +211,9 @@ def _compressed(batch: pa.RecordBatch) -> tuple:
     where, counts = (batch.column(c).cast(pa.binary()) for c in ("where", "counts"))
     if not len(where):
         return np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, int)
-    sizes = pc.binary_length(where).to_numpy() // 4
-    return *(np.frombuffer(b"".join(x.to_pylist()), np.int32) for x in (where, counts)), sizes.astype(int)
+    sizes = pc.binary_length(where).to_numpy() // 2
+    where, counts = (np.frombuffer(b"".join(x.to_pylist()), kind) for x, kind in ((where, np.uint16), (counts, np.int32)))
+    return where.astype(np.int32) | counts >> _OVER << 16, counts & (1 << _OVER) - 1, sizes.astype(int)
 
 
 def _added(parts: DataFrame) -> tuple[float, np.ndarray]:

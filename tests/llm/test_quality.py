@@ -94,3 +94,14 @@ def test_texts_are_read_once(spark, tmp_path):
     out = quality.quality_grades(spark.read.parquet(f"{tmp_path}/texts"), labels)
     assert out.inputFiles() and not any(f"{tmp_path}" in f for f in out.inputFiles())
     assert {r["doc_id"] for r in out.where("accepted").collect()} == set(range(40))
+
+
+def test_described(spark):
+    """Features come back from their bytes, two for a bucket and, when counts are small and packed, few more."""
+    texts = ["", None, " ".join(f"w{i}" for i in range(3000)), "a " * 100_000 + "B b !!", "good words here"]
+    rows = quality.described(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)).toArrow().to_batches()[0]
+    where, counts, sizes = quality._compressed(rows)
+    each = [quality.features(t) for t in texts]
+    assert (where == np.concatenate([f[0] for f in each])).all() and (counts == np.concatenate([f[1] for f in each])).all()
+    assert sizes.tolist() == [len(f[0]) for f in each] and counts.max() == 100_000 and (where >= 1 << 16).any()
+    assert len(rows.column("where")[2].as_py()) == 2 * sizes[2] and len(quality._compressed(rows.slice(0, 0))[2]) == 0
